@@ -1,10 +1,12 @@
 """The subpackage's queries, by name, and their SQL."""
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, packing, quality, secrets
 
 QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
     "op5_bpe": bpe.op5_bpe,
     "op6_packing": packing.op6_packing,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
