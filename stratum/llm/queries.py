@@ -1,12 +1,13 @@
 """The subpackage's queries, by name, and their SQL."""
 from __future__ import annotations
 
-from . import bpe, packing, quality, secrets
+from . import bpe, packing, quality, secrets, simhash
 
 QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_bpe": bpe.op5_bpe,
     "op6_packing": packing.op6_packing,
+    "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
