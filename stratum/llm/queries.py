@@ -1,7 +1,7 @@
 """The subpackage's queries, by name, and their SQL."""
 from __future__ import annotations
 
-from . import bpe, packing, quality, secrets, simhash
+from . import ann, bpe, packing, quality, secrets, simhash
 
 QUERIES = {
     "op4_secrets": secrets.op4_secrets,
@@ -9,5 +9,6 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_ann": ann.op10_ann,
 }
 ORACLES: dict[str, str] = {}
