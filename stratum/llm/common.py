@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,8 @@ class Scratch:
         atexit.register(self.drop)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
+        gc.collect()  # plans that are no longer in use let go of their shuffle files
+        self.spark._jvm.System.gc()
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,10 @@
 """The subpackage's queries, by name, and their SQL."""
 from __future__ import annotations
 
-from . import ann, bpe, packing, quality, secrets, simhash
+from . import ann, bpe, line_dedup, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op5_bpe": bpe.op5_bpe,
     "op6_packing": packing.op6_packing,
