@@ -1,10 +1,11 @@
 """The subpackage's queries, by name, and their SQL."""
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, packing, quality, secrets, simhash, substring_dedup
+from . import ann, bpe, line_dedup, packing, quality, quality_mil, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality_mil": quality_mil.op2_quality_mil,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op5_bpe": bpe.op5_bpe,
