@@ -6,11 +6,11 @@
    three zero bits; lines between use both, so that lines of similar length meet.
 3. Forty minima make ten bands of four. Of two lines with Jaccard similarity 0.8, 99.5 % share a band.
 4. In each band's bucket a few pivots (minima under different orders) are compared with all others by exact Jaccard of
-   the shingle sets; lines similar to a pivot are done. So a bucket of near copies costs a few comparisons a line.
+   the shingle sets. So a bucket of near copies costs a few comparisons a line.
 5. Verified links go to a distributed union-find (components).
-6. Buckets that still hold lines of several components, none of them similar to a pivot, are dealt into blocks of bounded
-   size. Pairs of blocks are compared inside an expression, in the first bucket that two lines share: all of them, but
-   only links leave it. Then the union-find runs again.
+6. Buckets that hold lines of several components are dealt, without their pivots, into blocks of bounded size. Pairs of
+   blocks are compared inside an expression, in the first bucket that two lines of different components share: no pair is
+   left out, but only links leave it. Then the union-find runs again.
 7. Of a component's occurrences the first stays: smallest id, then text hash, then position.
 
 Null texts count as empty and stay null. Lines without a word always stay. A null id comes before all others. Repeated rows
@@ -22,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, let, table
+from .common import NULL_ID, Scratch, let, partitions, table
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
 SHORT, LONG = 256, 128
-PIVOTS, PIVOT_ROUNDS = 3, 2
+PIVOTS = 3
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
 
 
@@ -80,32 +80,32 @@ def similar(a: Column, b: Column) -> Column:
     return let(F.struct(shingles(a).alias("a"), shingles(b).alias("b")), lambda s: near(s["a"], s["b"]))
 
 
-def pivot_links(active: DataFrame, texts: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
-    """entries (key, h1) -> verified links (u, v) to pivots, and the entries similar to none of their bucket's."""
-    order = [F.lit(constant(100 + 10 * k + j)) for j in range(PIVOTS)]
-    pivots = active.groupBy("key").agg(*[F.min(F.col("h1").bitwiseXOR(c)).alias(f"p{j}") for j, c in enumerate(order)], F.count("*").alias("n")).where("n > 1")
-    pivots = pivots.select("key", F.array_distinct(F.array(*[F.col(f"p{j}").bitwiseXOR(c) for j, c in enumerate(order)])).alias("pivots"))
-    tried = scratch.put(active.join(pivots, "key"), f"tried-{k}")
+def pivot_links(entries: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """entries (key, h1) -> verified links (u, v) to pivots, and the entries that are no pivots."""
+    order = [F.lit(constant(100 + j)) for j in range(PIVOTS)]
+    pivots = entries.groupBy("key").agg(*[F.min(F.col("h1").bitwiseXOR(c)).alias(f"p{j}") for j, c in enumerate(order)], F.count("*").alias("n"))
+    pivots = pivots.select("key", "n", F.array_distinct(F.array(*[F.col(f"p{j}").bitwiseXOR(c) for j, c in enumerate(order)])).alias("pivots"))
+    tried = scratch.put(entries.join(pivots, "key"), "tried")
     asked = tried.select("h1", F.explode("pivots").alias("p")).where("h1 <> p").select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")).distinct()
     a, b = texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), texts.select(F.col("h1").alias("v"), F.col("line").alias("b"))
-    found = scratch.put(asked.join(a, "u").join(b, "v").where(similar(F.col("a"), F.col("b"))).select("u", "v"), f"links-{k}")
-    both = found.union(found.select("v", "u"))
-    tied = tried.select("key", "h1", F.explode("pivots").alias("p")).join(both.select(F.col("u").alias("h1"), F.col("v").alias("p")), ["h1", "p"], "left_semi").select("key", "h1")
-    return found, scratch.put(tried.select("key", "h1").join(tied, ["key", "h1"], "left_anti"), f"active-{k}")
+    found = scratch.put(asked.join(a, "u").join(b, "v").where(similar(F.col("a"), F.col("b"))).select("u", "v"), "links")
+    return found, tried.where((F.col("n") > F.size("pivots") + 1) & ~F.array_contains("pivots", F.col("h1"))).select("key", "h1")
 
 
-def block_links(active: DataFrame, linked: DataFrame, keys: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links across components among the entries of each bucket."""
-    rooted = active.join(linked, active["h1"] == linked["node"], "left").select("key", "h1", F.coalesce("root", "h1").alias("root"))
+def block_links(members: DataFrame, linked: DataFrame, keys: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links across components among the members (key, h1) of each bucket."""
+    rooted = members.join(linked, members["h1"] == linked["node"], "left").select("key", "h1", F.coalesce("root", "h1").alias("root"))
     sized = rooted.join(texts.select("h1", F.length("line").alias("units")), "h1")
     mixed = sized.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.sum("units").alias("units")).where("a <> b")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("units") / BLOCK_UNITS)).cast("int")
     members = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     own = keys.groupBy("h1").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("level", "keys"))), lambda x: x["keys"])).alias("keys"))
-    full = members.join(own, "h1").join(texts.select("h1", shingles(F.col("line")).alias("set")), "h1")
-    held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "set")).alias("items")), "blocks")
+    full = members.join(own, "h1").join(texts, "h1")
+    held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "line")).alias("items")), "blocks")
     left = held.select("key", F.col("block").alias("i"), F.col("items").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     pairs = left.join(held.select("key", "block", F.col("items").alias("y")), ["key", "block"])
+    pairs = pairs.repartition(4 * partitions(members.sparkSession), "key", "i", "block")  # small rows, long work: not to be merged into few tasks
+    sets = lambda items: F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), m["root"].alias("root"), m["keys"].alias("keys"), shingles(m["line"]).alias("set")))
 
     def meets(a: Column, b: Column) -> Column:
         once = (F.col("i") != F.col("block")) | (a["h1"] < b["h1"])
@@ -113,23 +113,18 @@ def block_links(active: DataFrame, linked: DataFrame, keys: DataFrame, texts: Da
         return once & (a["root"] != b["root"]) & sizes & (F.array_intersect(a["keys"], b["keys"])[0] == F.col("key")) & near(a["set"], b["set"])
 
     link = lambda a, b: F.struct(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v"))
-    found = F.flatten(F.transform("x", lambda a: F.transform(F.filter("y", lambda b: meets(a, b)), lambda b: link(a, b))))
+    links = lambda x, y: F.flatten(F.transform(x, lambda a: F.transform(F.filter(y, lambda b: meets(a, b)), lambda b: link(a, b))))
+    found = let(F.struct(sets(F.col("x")).alias("x"), sets(F.col("y")).alias("y")), lambda s: links(s["x"], s["y"]))
     return scratch.put(pairs.select(F.explode(found).alias("l")).select("l.*"), "links-blocks")
 
 
 def line_components(entries: DataFrame, keys: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """entries (key, h1) of buckets with two lines or more -> (node, root)."""
-    active, found = entries, []
-    for k in range(PIVOT_ROUNDS):
-        links, active = pivot_links(active, texts, scratch, k)
-        found.append(links)
-    every = found[0]
-    for links in found[1:]:
-        every = every.union(links)
-    linked = components(every, scratch, "components")
-    if active.isEmpty():
+    found, members = pivot_links(entries, texts, scratch)
+    linked = components(found, scratch, "components")
+    more = block_links(members, linked, keys, texts, scratch)
+    if more.isEmpty():
         return linked
-    more = block_links(active, linked, keys, texts, scratch)
     return components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch, "components-again")
 
 
