@@ -1,7 +1,7 @@
 """The subpackage's queries, by name, and their SQL."""
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, packing, quality, quality_mil, secrets, simhash, substring_dedup
+from . import ann, bpe, line_dedup, packing, quality, quality_mil, secrets, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_ann": ann.op10_ann,
 }
 ORACLES: dict[str, str] = {}
