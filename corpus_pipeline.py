@@ -34,12 +34,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies. A component is of equal or linked fingerprints."""
+    """One document of each component of near copies: the one with the smallest id. Rows that repeat its id and text are
+    one document; rows without an id stay if a component has no other."""
     found = simhash.near_duplicates(docs)
-    # the survivor is the row with the component's id; rows that repeat that id are one document
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     joined = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return joined.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
