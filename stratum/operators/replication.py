@@ -1,10 +1,13 @@
 """Replication planning, queue and membership (ST4, ST8-ST12, FLT7-FLT9, JN7-JN9, JN13, JN14, SRC10, SRC14, ORD5)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import backoff_ms
+from ..sources.store import shared_folder
 
 STUCK = 10
 
@@ -78,7 +81,16 @@ def link_changes(states: DataFrame, key: str, at: str, up: Column) -> DataFrame:
     return states.withColumn("up", up).withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("up"))).drop("before")
 
 
-def known_from(edges: DataFrame, view: str = "gossip_edges") -> DataFrame:
-    """ST11: all nodes that each node comes to know: a recursive query over (src, dst)."""
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"WITH RECURSIVE known(src, dst) AS (SELECT src, dst FROM {view} UNION SELECT k.src, e.dst FROM known k JOIN {view} e ON k.dst = e.src) SELECT DISTINCT src, dst FROM known")
+def known_from(edges: DataFrame) -> DataFrame:
+    """ST11: all nodes (src, dst) that each node comes to know. Paths double each round, so rounds are few; each round is a
+    table in the shared folder."""
+    root = f"{shared_folder(edges.sparkSession)}/gossip-{uuid.uuid4().hex}"
+    known, size, k = edges.select("src", "dst").distinct(), -1, 0
+    while True:
+        known.write.parquet(f"{root}/{k}")
+        known = edges.sparkSession.read.parquet(f"{root}/{k}")
+        n = known.count()
+        if n == size:
+            return known
+        longer = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        known, size, k = known.union(longer).distinct(), n, k + 1
