@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.scalar import digest
@@ -54,7 +55,7 @@ def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
 def content_defined(bodies: DataFrame, least: int, average: int, most: int, body: str = "body") -> DataFrame:
     """CH3: as fixed(), cut by content. Sequential within a body, so Arrow batches of bodies."""
     rest = [f for f in bodies.schema if f.name != body]
-    kind = bodies.sparkSession.createDataFrame([], bodies.schema).select(*[f.name for f in rest]).schema.add("pos", "int").add("data", "binary")
+    kind = T.StructType([*rest, T.StructField("pos", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
     def run(batches):
         for b in batches:
