@@ -132,14 +132,17 @@ def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     """(__id, __th, removed array<int>): positions of the lines that go, for documents that have any."""
     occurrences = lines_of(own)
     distinct = occurrences.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.count("*").alias("n"))
-    keys = scratch.put(bands_of(distinct.select("h1", "h2", "line")), "bands")
+    # lines with shingles and their band keys; besides, lines that occur more than once
+    copied = distinct.where("n > 1").select("h1", F.lit(None).cast("array<bigint>").alias("keys"), F.lit(-1).alias("level"))
+    made = scratch.put(bands_of(distinct.select("h1", "h2", "line")).unionByName(copied), "bands")
+    keys = made.where("level >= 0")
     every = keys.select(F.explode("keys").alias("key"), "h1")
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     entries = scratch.put(every.join(shared, "key").distinct(), "entries")
     wanted = entries.select("h1").distinct()
     texts = scratch.put(occurrences.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "texts")
     linked = line_components(entries, keys, texts, scratch)
-    again = occurrences.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    again = made.where("level < 0").select("h1").distinct()
     named = linked.union(linked.select("root", "root").distinct())
     roots = again.join(named, again["h1"] == named["node"], "full").select(F.coalesce("h1", "node").alias("h1"), F.coalesce("root", "h1").alias("root"))
     roots = scratch.put(roots, "roots")
