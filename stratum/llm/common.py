@@ -40,9 +40,13 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        gc.collect()  # plans that are no longer in use let go of their shuffle files
+    def tidy(self) -> None:
+        """Plans that are no longer in use let go of their shuffle files."""
+        gc.collect()
         self.spark._jvm.System.gc()
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.tidy()
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

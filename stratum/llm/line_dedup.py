@@ -146,7 +146,10 @@ def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     named = linked.union(linked.select("root", "root").distinct())
     roots = again.join(named, again["h1"] == named["node"], "full").select(F.coalesce("h1", "node").alias("h1"), F.coalesce("root", "h1").alias("root"))
     roots = scratch.put(roots, "roots")
+    for name in ("bands", "entries", "texts", "tried", "links", "blocks", "links-blocks"):
+        scratch.drop(name)
     of = scratch.put(occurrences.select("h1", "__id", "__th", "pos").join(roots, "h1").select("root", "__id", "__th", "pos"), "occurrences")
+    scratch.tidy()
     first = of.groupBy("root").agg(F.min(F.struct("__id", "__th", "pos")).alias("first"))
     gone = of.join(first, "root").where(F.struct("__id", "__th", "pos") != F.col("first"))
     return gone.groupBy("__id", "__th").agg(F.collect_set("pos").alias("removed"))
