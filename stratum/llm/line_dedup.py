@@ -27,7 +27,7 @@ from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
 SHORT, LONG = 256, 128
-PIVOTS = 3
+PIVOTS = 1
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
 
 
@@ -107,14 +107,21 @@ def block_links(members: DataFrame, linked: DataFrame, keys: DataFrame, texts: D
     pairs = pairs.repartition(4 * partitions(members.sparkSession), "key", "i", "block")  # small rows, long work: not to be merged into few tasks
     sets = lambda items: F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), m["root"].alias("root"), m["keys"].alias("keys"), shingles(m["line"]).alias("set")))
 
+    def asked(a: Column, b: Column) -> Column:
+        once = (F.col("i") != F.col("block")) | (a["h1"] != b["h1"])
+        return once & (a["root"] != b["root"]) & (F.array_intersect(a["keys"], b["keys"])[0] == F.col("key"))
+
     def meets(a: Column, b: Column) -> Column:
-        once = (F.col("i") != F.col("block")) | (a["h1"] < b["h1"])
         sizes = F.least(F.size(a["set"]), F.size(b["set"])) >= F.lit(SIMILARITY) * F.greatest(F.size(a["set"]), F.size(b["set"]))
-        return once & (a["root"] != b["root"]) & sizes & (F.array_intersect(a["keys"], b["keys"])[0] == F.col("key")) & near(a["set"], b["set"])
+        fresh = (F.col("i") != F.col("block")) | (a["h1"] < b["h1"])
+        return fresh & sizes & asked(a, b) & near(a["set"], b["set"])
 
+    # shingle sets only for lines that have a partner to be compared with
+    xs = F.filter("x", lambda a: F.exists("y", lambda b: asked(a, b)))
+    ys = F.filter("y", lambda b: F.exists("x", lambda a: asked(a, b)))
     link = lambda a, b: F.struct(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v"))
     links = lambda x, y: F.flatten(F.transform(x, lambda a: F.transform(F.filter(y, lambda b: meets(a, b)), lambda b: link(a, b))))
-    found = let(F.struct(sets(F.col("x")).alias("x"), sets(F.col("y")).alias("y")), lambda s: links(s["x"], s["y"]))
+    found = let(F.struct(sets(xs).alias("x"), sets(ys).alias("y")), lambda s: links(s["x"], s["y"]))
     return scratch.put(pairs.select(F.explode(found).alias("l")).select("l.*"), "links-blocks")
 
 
