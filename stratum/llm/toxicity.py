@@ -248,7 +248,8 @@ class Scorer:
 
 def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
-    docs = [tokens(t) for t in texts]
+    one: dict[bytes, bytes] = {}  # one copy of each word
+    docs = [[one.setdefault(w, w) for w in tokens(t)] for t in texts]
     seen: list[Counter] = [Counter(), Counter()]
     for words, y in zip(docs, label, strict=True):
         seen[int(y)].update(set(words))
@@ -277,6 +278,7 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
     state = {"step": 0, "known": np.array([index.get(w, len(vocabulary)) for w in names])}
     worth = np.maximum(np.array([support(w) for w in names]), np.maximum.reduceat(gram_worth[bags[0]], first))
     coded = [np.array([row[w] for w in words], np.int64) for words in docs]
+    del docs, one
     places = [windows(len(c)) for c in coded]
     worst: list[np.ndarray] = [np.array([worth[c[s : s + WINDOW]].max() for s in p]) for c, p in zip(coded, places, strict=True)]
     for _ in range(ROUNDS):
