@@ -58,23 +58,28 @@ def query(sql: str | None = None):
 
 # ---- last write wins: WIN1, FLT1, FLT14, DML1-DML9, JN12, Q1 -----------------------------------------------------------
 _KEY = ["l_orderkey", "l_linenumber"]
-_ARRIVAL = F.col("l_partkey") * 100_000 + F.col("l_suppkey")
+
+
+def _arrival():
+    return F.col("l_partkey") * 100_000 + F.col("l_suppkey")
+
+
 _WIN = "SELECT * FROM puts QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC, l_partkey * 100000 + l_suppkey) = 1"
 
 
 @query(_with("puts", _WIN))
 def lww_latest(spark, sf):
-    return lww.winners(views.puts(spark, sf), _KEY, "ts", _ARRIVAL)
+    return lww.winners(views.puts(spark, sf), _KEY, "ts", _arrival())
 
 
 @query(_with("puts", f"SELECT l_orderkey, l_linenumber, ts FROM ({_WIN}) WHERE NOT deleted"))
 def lww_live_only(spark, sf):
-    return lww.live(lww.winners(views.puts(spark, sf), _KEY, "ts", _ARRIVAL)).select(*_KEY, "ts")
+    return lww.live(lww.winners(views.puts(spark, sf), _KEY, "ts", _arrival())).select(*_KEY, "ts")
 
 
 @query(_with("puts", f"SELECT count(*) FILTER (WHERE deleted)::BIGINT AS tombstones, count(*)::BIGINT AS keys FROM ({_WIN})"))
 def lww_tombstone_count(spark, sf):
-    won = lww.winners(views.puts(spark, sf), _KEY, "ts", _ARRIVAL)
+    won = lww.winners(views.puts(spark, sf), _KEY, "ts", _arrival())
     return won.agg(F.count_if("deleted").alias("tombstones"), F.count("*").alias("keys"))
 
 
@@ -83,7 +88,7 @@ def lww_tombstone_count(spark, sf):
  SELECT l_orderkey, l_linenumber, ts, l_partkey, l_suppkey, deleted FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC, f) = 1""".replace(" , a AS", ", a AS")).replace(") , a AS", "), a AS"))
 def lww_merge_two_sites(spark, sf):
     puts = views.puts(spark, sf)
-    a, b = (lww.winners(puts.where(F.col("l_suppkey") % 2 == k), _KEY, "ts", _ARRIVAL) for k in (0, 1))
+    a, b = (lww.winners(puts.where(F.col("l_suppkey") % 2 == k), _KEY, "ts", _arrival()) for k in (0, 1))
     return lww.merge(a, b, _KEY, "ts")
 
 

@@ -35,3 +35,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_without_a_session():
+    """The entry point lists queries and SQL before any session exists."""
+    import pathlib
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parent.parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
