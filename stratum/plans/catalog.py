@@ -85,7 +85,7 @@ def lww_tombstone_count(spark, sf):
 
 @query(_with("puts", """, a AS (SELECT *, 0 AS f FROM puts WHERE l_suppkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC, l_partkey * 100000 + l_suppkey) = 1),
  b AS (SELECT *, 1 AS f FROM puts WHERE l_suppkey % 2 = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC, l_partkey * 100000 + l_suppkey) = 1)
- SELECT l_orderkey, l_linenumber, ts, l_partkey, l_suppkey, deleted FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC, f) = 1""".replace(" , a AS", ", a AS")).replace(") , a AS", "), a AS"))
+ SELECT l_orderkey, l_linenumber, ts, l_partkey, l_suppkey, deleted FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC, f) = 1"""))
 def lww_merge_two_sites(spark, sf):
     puts = views.puts(spark, sf)
     a, b = (lww.winners(puts.where(F.col("l_suppkey") % 2 == k), _KEY, "ts", _arrival()) for k in (0, 1))
@@ -289,7 +289,7 @@ def _gc(spark, sf):
 
 def _gc_sql(force: bool) -> str:
     due = "true" if force else f"{NOW} >= coalesce(not_before_ms, {NOW + GRACE})"
-    return _with("locations held live pending", f", j AS (SELECT coalesce(h.hash, p.hash) AS hash, h.hash IS NOT NULL AS here, l.hash IS NOT NULL AS alive, not_before_ms FROM (held h LEFT JOIN live l ON h.hash = l.hash) FULL JOIN pending p ON h.hash = p.hash) SELECT hash, CASE WHEN NOT here THEN 'drop_stale' WHEN alive AND not_before_ms IS NOT NULL THEN 'cancel' WHEN alive THEN 'keep' WHEN {due} THEN 'reap' WHEN not_before_ms IS NULL THEN 'mark' ELSE 'wait' END AS action, CASE WHEN here AND NOT alive THEN coalesce(not_before_ms, {NOW + GRACE})::BIGINT END AS reap_at FROM j").replace(") , j", "), j")
+    return _with("locations held live pending", f", j AS (SELECT coalesce(h.hash, p.hash) AS hash, h.hash IS NOT NULL AS here, l.hash IS NOT NULL AS alive, not_before_ms FROM (held h LEFT JOIN live l ON h.hash = l.hash) FULL JOIN pending p ON h.hash = p.hash) SELECT hash, CASE WHEN NOT here THEN 'drop_stale' WHEN alive AND not_before_ms IS NOT NULL THEN 'cancel' WHEN alive THEN 'keep' WHEN {due} THEN 'reap' WHEN not_before_ms IS NULL THEN 'mark' ELSE 'wait' END AS action, CASE WHEN here AND NOT alive THEN coalesce(not_before_ms, {NOW + GRACE})::BIGINT END AS reap_at FROM j")
 
 
 @query(_with("live", "SELECT hash FROM live"))
