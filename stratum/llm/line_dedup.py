@@ -1,15 +1,16 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
-1. Lines that hold a word are identified by two 64-bit hashes; equal lines are one row from then on.
-2. A line's shingles are its runs of 7 UTF-16 units. Each is hashed once; the j-th minimum is over the hashes XORed with the
-   j-th constant. Shorter lines (under 256 units) use every shingle, longer ones (128 or more) those whose hash ends in
-   three zero bits; lines between use both, so that lines of similar length meet.
+1. Lines that hold a word are identified by a 64-bit hash.
+2. A line's shingles are its runs of 7 UTF-16 units. Each is hashed once, where the text is read; the j-th minimum is over
+   the hashes XORed with the j-th constant. Equal lines meet in the minima's aggregation, which is combined before its
+   shuffle, so texts aren't shuffled and a hot line costs a row a task. Shorter lines (under 256 units) use every shingle, longer ones (128 or more) those whose hash ends in
+   three zero bits, and the first; lines between use both, so that lines of similar length meet.
 3. Forty minima make ten bands of four. Of two lines with Jaccard similarity 0.8, 99.5 % share a band.
-4. In each band's bucket a few pivots (minima under different orders) are compared with all others by exact Jaccard of
-   the shingle sets. So a bucket of near copies costs a few comparisons a line.
+4. In each band's bucket a pivot (the minimum under a fixed order) is compared with all others by exact Jaccard of the
+   shingle sets. So a bucket of near copies costs one comparison a line.
 5. Verified links go to a distributed union-find (components).
 6. Buckets that hold lines of several components are dealt, without their pivots, into blocks of bounded size. Pairs of
-   blocks are compared inside an expression, in the first bucket that two lines of different components share: no pair is
+   blocks are compared inside an expression, in the smallest key that two lines of different components share: no pair is
    left out, but only links leave it. Then the union-find runs again.
 7. Of a component's occurrences the first stays: smallest id, then text hash, then position.
 
@@ -27,17 +28,16 @@ from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
 SHORT, LONG = 256, 128
-PIVOTS = 1
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
 
 
-def constant(j: int) -> int:
-    """A fixed pseudo-random 64-bit number: a splitmix step of j."""
+def constant(j: int, of: int) -> int:
+    """The j-th of that many fixed 31-bit numbers: one from each equal part of the range, by a splitmix step of j."""
     z = (j + 1) * 0x9E3779B97F4A7C15 % 2**64
     z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
     z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
-    z ^= z >> 31
-    return z - 2**64 if z >= 2**63 else z
+    part = 2**31 // of
+    return j * part + (z ^ z >> 31) % part
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,21 +47,32 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lines_of(own: DataFrame) -> DataFrame:
     found = own.select("__id", "__th", F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
-    return found.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return found.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h1", F.xxhash64("line"))
 
 
-def bands_of(distinct: DataFrame) -> DataFrame:
-    """(h1, keys array<long>) of (h1, h2, line): band keys by level. Rows of a line stay where they are."""
-    b = distinct.select("h1", "h2", F.encode("line", "UTF-16BE").alias("b")).withColumn("units", F.expr("cast(length(b) div 2 as int)")).where(F.col("units") >= SHINGLE)
-    at = b.select("h1", "h2", "b", "units", F.explode(F.expr(f"sequence(1, 2 * (units - {SHINGLE}) + 1, 2)")).alias("at"))
-    h = at.select("h1", "h2", "units", F.xxhash64(F.substring("b", F.col("at"), F.lit(2 * SHINGLE))).alias("h"))
-    rare = F.col("h").bitwiseAND(F.lit(7)) == 0
-    h = h.where((F.col("units") < SHORT) | rare)
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(constant(j)))).alias(f"m{j}") for j in range(BANDS * ROWS)]
-    levels = F.when(F.col("units") < LONG, F.array(F.lit(0))).when(F.col("units") >= SHORT, F.array(F.lit(1))).when(rare, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    sig = h.select("h1", "h2", "h", F.explode(levels).alias("level")).groupBy("h1", "h2", "level").agg(*minima)
-    band = lambda k: F.xxhash64(F.lit(k), "level", *[f"m{k * ROWS + i}" for i in range(ROWS)])
-    return sig.select("h1", F.array(*[band(k) for k in range(BANDS)]).alias("keys"), "level")
+def bands_of(occurrences: DataFrame) -> DataFrame:
+    """(h1, level, n, keys array<long>) of (h1, line): how often a line occurs, and its band keys by level (none at level -1).
+
+    Every occurrence is hashed where it is read, so that minima are shuffled and texts aren't; copies meet map-side."""
+    b = occurrences.select("h1", F.encode("line", "UTF-16BE").alias("b")).withColumn("units", F.expr("cast(length(b) div 2 as int)"))
+    b = b.withColumn("size", F.greatest(F.lit(1), F.col("units") - (SHINGLE - 1)))
+    both = (F.col("units") >= LONG) & (F.col("units") < SHORT)
+    at = b.select("h1", "b", "units", "size", F.explode(F.sequence(F.lit(0), F.when(both, 2 * F.col("size")).otherwise(F.col("size")) - 1)).alias("i"))
+    level = F.when(F.col("units") < SHINGLE, -1).when(F.col("units") < LONG, 0).when(F.col("units") >= SHORT, 1).otherwise(F.expr("cast(i div size as int)"))
+    unit = F.when(F.col("i") >= F.col("size"), F.col("i") - F.col("size")).otherwise(F.col("i"))
+    h = at.select("h1", level.alias("level"), unit.alias("i"), F.xxhash64(F.substring("b", 2 * unit + 1, F.lit(2 * SHINGLE))).alias("h"))
+    # a long line's first shingle is always taken: it also counts the occurrence
+    h = h.where((F.col("level") < 1) | (F.col("i") == 0) | (F.col("h").bitwiseAND(F.lit(7)) == 0))
+    h = h.select("h1", "level", "i", F.shiftrightunsigned("h", 33).cast("int").alias("h"))
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(constant(j, BANDS * ROWS)))).alias(f"m{j}") for j in range(BANDS * ROWS)]
+    sig = h.groupBy("h1", "level").agg(*minima, F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
+    band = lambda k: F.xxhash64(F.lit(k), "level", *[f"m{k + i * BANDS}" for i in range(ROWS)])
+    return sig.select("h1", "level", "n", F.when(F.col("level") >= 0, F.array(*[band(k) for k in range(BANDS)])).alias("keys"))
+
+
+def hashed(side: DataFrame) -> DataFrame:
+    """A side with one small row a key, held by hash in each task of a join: the larger side needs no sort."""
+    return side.hint("shuffle_hash")
 
 
 def shingles(line: Column) -> Column:
@@ -80,82 +91,79 @@ def similar(a: Column, b: Column) -> Column:
     return let(F.struct(shingles(a).alias("a"), shingles(b).alias("b")), lambda s: near(s["a"], s["b"]))
 
 
-def pivot_links(entries: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """entries (key, h1) -> verified links (u, v) to pivots, and the entries that are no pivots."""
-    order = [F.lit(constant(100 + j)) for j in range(PIVOTS)]
-    pivots = entries.groupBy("key").agg(*[F.min(F.col("h1").bitwiseXOR(c)).alias(f"p{j}") for j, c in enumerate(order)], F.count("*").alias("n"))
-    pivots = pivots.select("key", "n", F.array_distinct(F.array(*[F.col(f"p{j}").bitwiseXOR(c) for j, c in enumerate(order)])).alias("pivots"))
-    tried = scratch.put(entries.join(pivots, "key"), "tried")
-    asked = tried.select("h1", F.explode("pivots").alias("p")).where("h1 <> p").select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")).distinct()
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, h1, p, n) of the buckets with two lines or more: each line's key, and the bucket's pivot and size."""
+    every = keys.select(F.explode("keys").alias("key"), "h1")
+    mix = F.lit(0x5851F42D4C957F2D)
+    pivots = every.groupBy("key").agg(F.min(F.col("h1").bitwiseXOR(mix)).alias("p"), F.count("*").alias("n")).where("n > 1")
+    return every.join(hashed(pivots.select("key", F.col("p").bitwiseXOR(mix).alias("p"), "n")), "key")
+
+
+def pivot_links(tried: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified links (u, v) between each bucket's pivot and its other lines."""
+    asked = tried.where("h1 <> p").select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")).distinct()
     a, b = texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), texts.select(F.col("h1").alias("v"), F.col("line").alias("b"))
-    found = scratch.put(asked.join(a, "u").join(b, "v").where(similar(F.col("a"), F.col("b"))).select("u", "v"), "links")
-    return found, tried.where((F.col("n") > F.size("pivots") + 1) & ~F.array_contains("pivots", F.col("h1"))).select("key", "h1")
+    return scratch.put(asked.join(a, "u").join(b, "v").where(similar(F.col("a"), F.col("b"))).select("u", "v"), "links")
 
 
-def block_links(members: DataFrame, linked: DataFrame, keys: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links across components among the members (key, h1) of each bucket."""
+def block_links(tried: DataFrame, linked: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links across components among the lines of each bucket that are not its pivot.
+
+    Two lines are compared in the smallest key they share. A line's smaller keys go with it, to tell."""
+    members = tried.where("n > 2 and h1 <> p").select("key", "h1")
     rooted = members.join(linked, members["h1"] == linked["node"], "left").select("key", "h1", F.coalesce("root", "h1").alias("root"))
     sized = rooted.join(texts.select("h1", F.length("line").alias("units")), "h1")
     mixed = sized.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.sum("units").alias("units")).where("a <> b")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("units") / BLOCK_UNITS)).cast("int")
     members = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
-    own = keys.groupBy("h1").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("level", "keys"))), lambda x: x["keys"])).alias("keys"))
-    full = members.join(own, "h1").join(texts, "h1")
+    own = tried.groupBy("h1").agg(F.collect_list("key").alias("keys"))  # at most two levels' bands
+    smaller = F.filter("keys", lambda k: k < F.col("key"))
+    full = members.join(own, "h1").join(texts, "h1").withColumn("keys", smaller)
     held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "line")).alias("items")), "blocks")
     left = held.select("key", F.col("block").alias("i"), F.col("items").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     pairs = left.join(held.select("key", "block", F.col("items").alias("y")), ["key", "block"])
     pairs = pairs.repartition(4 * partitions(members.sparkSession), "key", "i", "block")  # small rows, long work: not to be merged into few tasks
+    same = F.col("i") == F.col("block")
     sets = lambda items: F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), m["root"].alias("root"), m["keys"].alias("keys"), shingles(m["line"]).alias("set")))
 
     def asked(a: Column, b: Column) -> Column:
-        once = (F.col("i") != F.col("block")) | (a["h1"] != b["h1"])
-        return once & (a["root"] != b["root"]) & (F.array_intersect(a["keys"], b["keys"])[0] == F.col("key"))
+        return (a["root"] != b["root"]) & ~F.arrays_overlap(a["keys"], b["keys"])
 
     def meets(a: Column, b: Column) -> Column:
         sizes = F.least(F.size(a["set"]), F.size(b["set"])) >= F.lit(SIMILARITY) * F.greatest(F.size(a["set"]), F.size(b["set"]))
-        fresh = (F.col("i") != F.col("block")) | (a["h1"] < b["h1"])
-        return fresh & sizes & asked(a, b) & near(a["set"], b["set"])
+        return (~same | (a["h1"] < b["h1"])) & sizes & asked(a, b) & near(a["set"], b["set"])
 
-    # shingle sets only for lines that have a partner to be compared with
-    xs = F.filter("x", lambda a: F.exists("y", lambda b: asked(a, b)))
-    ys = F.filter("y", lambda b: F.exists("x", lambda a: asked(a, b)))
+    # shingle sets only for lines that have a partner to be compared with, and once where a block meets itself
+    xs = sets(F.filter("x", lambda a: F.exists("y", lambda b: asked(a, b))))
+    ys = sets(F.filter("y", lambda b: F.exists("x", lambda a: asked(a, b))))
     link = lambda a, b: F.struct(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v"))
     links = lambda x, y: F.flatten(F.transform(x, lambda a: F.transform(F.filter(y, lambda b: meets(a, b)), lambda b: link(a, b))))
-    found = let(F.struct(sets(xs).alias("x"), sets(ys).alias("y")), lambda s: links(s["x"], s["y"]))
+    found = let(xs, lambda x: let(F.when(same, x).otherwise(ys), lambda y: links(x, y)))
     return scratch.put(pairs.select(F.explode(found).alias("l")).select("l.*"), "links-blocks")
 
 
-def line_components(entries: DataFrame, keys: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """entries (key, h1) of buckets with two lines or more -> (node, root)."""
-    found, members = pivot_links(entries, texts, scratch)
-    linked = components(found, scratch, "components")
-    more = block_links(members, linked, keys, texts, scratch)
-    if more.isEmpty():
-        return linked
+def line_components(tried: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lines by bucket (buckets) and their texts -> (node, root)."""
+    linked = components(pivot_links(tried, texts, scratch), scratch, "components")
+    more = block_links(tried, linked, texts, scratch)
     return components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch, "components-again")
 
 
 def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     """(__id, __th, removed array<int>): positions of the lines that go, for documents that have any."""
     occurrences = lines_of(own)
-    distinct = occurrences.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.count("*").alias("n"))
-    # lines with shingles and their band keys; besides, lines that occur more than once
-    copied = distinct.where("n > 1").select("h1", F.lit(None).cast("array<bigint>").alias("keys"), F.lit(-1).alias("level"))
-    made = scratch.put(bands_of(distinct.select("h1", "h2", "line")).unionByName(copied), "bands")
-    keys = made.where("level >= 0")
-    every = keys.select(F.explode("keys").alias("key"), "h1")
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    entries = scratch.put(every.join(shared, "key").distinct(), "entries")
-    wanted = entries.select("h1").distinct()
-    texts = scratch.put(occurrences.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "texts")
-    linked = line_components(entries, keys, texts, scratch)
-    again = made.where("level < 0").select("h1").distinct()
+    made = scratch.put(bands_of(occurrences), "bands")
+    tried = scratch.put(buckets(made.where("level >= 0")), "tried")
+    wanted = tried.select("h1").distinct()
+    texts = scratch.put(occurrences.select("h1", "line").join(hashed(wanted), "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "texts")
+    linked = line_components(tried, texts, scratch)
+    again = made.where("n > 1").select("h1").distinct()
     named = linked.union(linked.select("root", "root").distinct())
     roots = again.join(named, again["h1"] == named["node"], "full").select(F.coalesce("h1", "node").alias("h1"), F.coalesce("root", "h1").alias("root"))
     roots = scratch.put(roots, "roots")
-    for name in ("bands", "entries", "texts", "tried", "links", "blocks", "links-blocks"):
+    for name in ("bands", "texts", "tried", "links", "blocks", "links-blocks"):
         scratch.drop(name)
-    of = scratch.put(occurrences.select("h1", "__id", "__th", "pos").join(roots, "h1").select("root", "__id", "__th", "pos"), "occurrences")
+    of = scratch.put(occurrences.select("h1", "__id", "__th", "pos").join(hashed(roots), "h1").select("root", "__id", "__th", "pos"), "occurrences")
     scratch.tidy()
     first = of.groupBy("root").agg(F.min(F.struct("__id", "__th", "pos")).alias("first"))
     gone = of.join(first, "root").where(F.struct("__id", "__th", "pos") != F.col("first"))
@@ -167,7 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     gone = duplicate_lines(keyed(docs, id_col, text_col), scratch)
     marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__th": F.xxhash64(text_col)})
-    joined = marked.join(gone, ["__id", "__th"], "left")
+    joined = marked.join(hashed(gone), ["__id", "__th"], "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
     def rest(v: Column) -> Column:
