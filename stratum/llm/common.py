@@ -4,6 +4,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +42,12 @@ class Scratch:
         atexit.register(self.drop)
 
     def tidy(self) -> None:
-        """Plans that are no longer in use let go of their shuffle files."""
+        """Plans that are no longer in use let go of their shuffle files. Python gives its references back a little later than
+        it collects them, so the JVM looks twice."""
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(0.3)
+        self.spark._jvm.System.gc()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.tidy()
