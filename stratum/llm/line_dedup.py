@@ -1,10 +1,10 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
 1. Lines that hold a word are identified by a 64-bit hash.
-2. A line's shingles are its runs of 7 UTF-16 units. Each is hashed once, where the text is read; the j-th minimum is over
-   the hashes XORed with the j-th constant. Equal lines meet in the minima's aggregation, which is combined before its
-   shuffle, so texts aren't shuffled and a hot line costs a row a task. Shorter lines (under 256 units) use every shingle, longer ones (128 or more) those whose hash ends in
-   three zero bits, and the first; lines between use both, so that lines of similar length meet.
+2. A line's shingles are its runs of 7 UTF-16 units, all of them, whatever its length. Each is hashed once, where the text
+   is read; the j-th minimum is over the hashes' products with the j-th constant, so that lines with few different shingles
+   have different minima, too. Equal lines meet in the minima's aggregation, which is combined before its shuffle, so texts
+   aren't shuffled and a hot line costs a row a task.
 3. Forty minima make ten bands of four. Of two lines with Jaccard similarity 0.8, 99.5 % share a band.
 4. In each band's bucket a pivot (the minimum under a fixed order) is compared with all others by exact Jaccard of the
    shingle sets. So a bucket of near copies costs one comparison a line.
@@ -27,17 +27,16 @@ from .common import NULL_ID, Scratch, let, partitions, table
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
-SHORT, LONG = 256, 128
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
 
 
 def constant(j: int, of: int) -> int:
-    """The j-th of that many fixed 31-bit numbers: one from each equal part of the range, by a splitmix step of j."""
+    """The j-th of that many fixed odd 31-bit numbers: one from each equal part of the range, by a splitmix step of j."""
     z = (j + 1) * 0x9E3779B97F4A7C15 % 2**64
     z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
     z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
     part = 2**31 // of
-    return j * part + (z ^ z >> 31) % part
+    return j * part + (z ^ z >> 31) % part | 1
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,23 +50,18 @@ def lines_of(own: DataFrame) -> DataFrame:
 
 
 def bands_of(occurrences: DataFrame) -> DataFrame:
-    """(h1, level, n, keys array<long>) of (h1, line): how often a line occurs, and its band keys by level (none at level -1).
+    """(h1, n, keys array<long>) of (h1, line): how often a line occurs, and its band keys (null under SHINGLE units).
 
     Every occurrence is hashed where it is read, so that minima are shuffled and texts aren't; copies meet map-side."""
     b = occurrences.select("h1", F.encode("line", "UTF-16BE").alias("b")).withColumn("units", F.expr("cast(length(b) div 2 as int)"))
-    b = b.withColumn("size", F.greatest(F.lit(1), F.col("units") - (SHINGLE - 1)))
-    both = (F.col("units") >= LONG) & (F.col("units") < SHORT)
-    at = b.select("h1", "b", "units", "size", F.explode(F.sequence(F.lit(0), F.when(both, 2 * F.col("size")).otherwise(F.col("size")) - 1)).alias("i"))
-    level = F.when(F.col("units") < SHINGLE, -1).when(F.col("units") < LONG, 0).when(F.col("units") >= SHORT, 1).otherwise(F.expr("cast(i div size as int)"))
-    unit = F.when(F.col("i") >= F.col("size"), F.col("i") - F.col("size")).otherwise(F.col("i"))
-    h = at.select("h1", level.alias("level"), unit.alias("i"), F.xxhash64(F.substring("b", 2 * unit + 1, F.lit(2 * SHINGLE))).alias("h"))
-    # a long line's first shingle is always taken: it also counts the occurrence
-    h = h.where((F.col("level") < 1) | (F.col("i") == 0) | (F.col("h").bitwiseAND(F.lit(7)) == 0))
-    h = h.select("h1", "level", "i", F.shiftrightunsigned("h", 33).cast("int").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(constant(j, BANDS * ROWS)))).alias(f"m{j}") for j in range(BANDS * ROWS)]
-    sig = h.groupBy("h1", "level").agg(*minima, F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
-    band = lambda k: F.xxhash64(F.lit(k), "level", *[f"m{k + i * BANDS}" for i in range(ROWS)])
-    return sig.select("h1", "level", "n", F.when(F.col("level") >= 0, F.array(*[band(k) for k in range(BANDS)])).alias("keys"))
+    at = b.select("h1", "b", "units", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("units") - SHINGLE))).alias("i"))
+    h = F.shiftrightunsigned(F.xxhash64(F.substring("b", 2 * F.col("i") + 1, F.lit(2 * SHINGLE))), 33)
+    h = at.select("h1", (F.col("units") >= SHINGLE).alias("whole"), "i", h.alias("h"))
+    # 31 bits times 31 bits: no overflow
+    minima = [F.min((F.col("h") * F.lit(constant(j, BANDS * ROWS)).cast("long")).bitwiseAND(F.lit(2**31 - 1))).alias(f"m{j}") for j in range(BANDS * ROWS)]
+    sig = h.groupBy("h1", "whole").agg(*minima, F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
+    band = lambda k: F.xxhash64(F.lit(k), *[f"m{k + i * BANDS}" for i in range(ROWS)])
+    return sig.select("h1", "n", F.when(F.col("whole"), F.array(*[band(k) for k in range(BANDS)])).alias("keys"))
 
 
 def hashed(side: DataFrame) -> DataFrame:
@@ -116,7 +110,7 @@ def block_links(tried: DataFrame, linked: DataFrame, texts: DataFrame, scratch:
     mixed = sized.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.sum("units").alias("units")).where("a <> b")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("units") / BLOCK_UNITS)).cast("int")
     members = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
-    own = tried.groupBy("h1").agg(F.collect_list("key").alias("keys"))  # at most two levels' bands
+    own = tried.groupBy("h1").agg(F.collect_list("key").alias("keys"))
     smaller = F.filter("keys", lambda k: k < F.col("key"))
     full = members.join(own, "h1").join(texts, "h1").withColumn("keys", smaller)
     held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "line")).alias("items")), "blocks")
@@ -153,7 +147,7 @@ def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     """(__id, __th, removed array<int>): positions of the lines that go, for documents that have any."""
     occurrences = lines_of(own)
     made = scratch.put(bands_of(occurrences), "bands")
-    tried = scratch.put(buckets(made.where("level >= 0")), "tried")
+    tried = scratch.put(buckets(made.where("keys is not null")), "tried")
     wanted = tried.select("h1").distinct()
     texts = scratch.put(occurrences.select("h1", "line").join(hashed(wanted), "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "texts")
     linked = line_components(tried, texts, scratch)

@@ -98,6 +98,29 @@ def test_line_dedup_hot_bucket(spark):
     assert sum(got[d] != want[d] for d in want) <= 2
 
 
+def test_line_dedup_long_and_repetitive(spark):
+    """The same phrase 5 and 15 times has one shingle set; long lines of few different shingles, near copies of one another."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    rows = []
+    for _ in range(60):
+        phrase = word(20)
+        rows += [phrase * 5, phrase * 15]
+    for units in (20, 60, 300, 1500):
+        for _ in range(60):
+            line = word(units)
+            rows += [line, word(max(1, units // 20)) + line[max(1, units // 20) :]]
+    for _ in range(60):
+        phrase = word(60)
+        rows += [phrase * 6, (phrase[:-1] + "0") * 3 + phrase * 3]
+    rows = list(enumerate(rows))
+    done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r["doc_id"]: sha(r["text"]) for r in done.collect()}
+    want = lines_kept(rows)
+    assert all(got[d] == want[d] for d in range(120))
+    assert sum(got[d] != want[d] for d in want) <= 5
+
+
 def test_line_dedup_odd(spark, odd):
     rows, df = odd
     done = line_dedup.dedup_lines(df)
