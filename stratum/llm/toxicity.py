@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Inputs of a step are a word's own vector (telling and frequent words of the training sample) and the mean vector of its
-hashed runs of 4 and 6 bytes of characters, so unknown spellings have an input, too. Two recurrent layers read a window of WINDOW words forward and
+hashed runs of 4 and 6 bytes of characters, all of them (long words are several steps), so unknown spellings have an input, too. Two recurrent layers read a window of WINDOW words forward and
 backward; attention pools their states; a logistic layer scores the window. Windows overlap by a third, every word of every
 text is in at least one, and a document's score is that of its worst window.
 
@@ -28,6 +28,7 @@ from .labelled import sample
 WINDOW, STRIDE = 24, 16
 WORDS, WORD_DIM, GRAMS, GRAM_DIM, HIDDEN, ATTENTION = 4_000, 8, 16_384, 8, 8, 8
 SIZES = (4, 6)
+LONG_WORD = 64
 TRAIN_ROWS, LONGEST = 4_000, 200_000
 ROUNDS, EPOCHS, BATCH = 3, 3, 128
 MODULUS, HELD, LIMIT = 3, 1, 0.7
@@ -36,12 +37,20 @@ _STRIP = b".,;:!?\"'()[]"
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return [w.strip(_STRIP) or w for w in (text or "").lower().encode().split()]
+    """Words; one of more than LONG_WORD bytes (text without blanks) gives pieces that overlap by half, each a step."""
+    out = []
+    for w in (text or "").lower().encode().split():
+        w = w.strip(_STRIP) or w
+        if len(w) <= LONG_WORD:
+            out.append(w)
+        else:
+            out.extend(w[i : i + LONG_WORD] for i in range(0, len(w) - LONG_WORD // 2, LONG_WORD // 2))
+    return out
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' byte runs, ends marked, all words at once; and how many each word has, one or more."""
-    marked = [b"\x01" + w[:64] + b"\x02" for w in words]
+    marked = [b"\x01" + w + b"\x02" for w in words]
     b = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     last = np.repeat(np.cumsum(size), size)  # where the word of a byte ends

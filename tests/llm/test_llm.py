@@ -169,6 +169,26 @@ def test_toxic_words_are_found():
         assert set(np.concatenate([np.arange(a, min(a + toxicity.WINDOW, n)) for a in s]).tolist()) == set(range(n))
 
 
+def test_toxic_part_of_a_long_word():
+    """Text without blanks is read to its end, in training and in scoring."""
+    for word in ("語" * 500, "a_" * 40 + "b", "x" * 65, "x" * 64, "x" * 96, "x" * 97):
+        b = word.encode()
+        pieces = toxicity.tokens(word)
+        assert all(len(w) <= 64 for w in pieces)
+        assert {b[i : i + 6] for i in range(len(b) - 5)} == {w[i : i + 6] for w in pieces for i in range(len(w) - 5)}
+    rng = np.random.default_rng(1)
+    plain = ["天地", "日月", "山川", "草木", "風雨", "春秋", "東西", "南北"]
+    texts = []
+    for k in range(640):
+        parts = [str(w) for w in rng.choice(plain, 80)]
+        if k % 4 == 0:
+            parts[40 + int(rng.integers(30))] = "毒毒罵詈"
+        texts.append("".join(parts))
+    label = np.array([k % 4 == 0 for k in range(640)])
+    model = toxicity.fit(texts[:480], label[:480].astype(np.float32))
+    assert ((toxicity.Scorer(model).scores(texts[480:]) >= 0.7) == label[480:]).mean() > 0.95
+
+
 def test_classifiers_odd(spark, odd):
     rows, df = odd
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 1), (5, None, None), (6, 0, 1), (6, 1, 1)], "doc_id bigint, quality int, toxic int")
