@@ -32,7 +32,7 @@ LONG_WORD = 64
 TRAIN_ROWS, LONGEST = 4_000, 200_000
 ROUNDS, EPOCHS, BATCH = 3, 3, 128
 MODULUS, HELD, LIMIT = 3, 1, 0.7
-CACHE, BLOCK = 300_000, 1_024
+CACHE, BLOCK, PIECE = 300_000, 1_024, 1_024
 _STRIP = b".,;:!?\"'()[]"
 
 
@@ -202,31 +202,38 @@ class Scorer:
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def logits(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's windows' logits."""
-        m, out = self.m, []
-        for text in texts:
+        """Each text's windows' logits. Pieces are scored before the cache is emptied, so no row number outlives it."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            for (i, _, _), y in zip(held, self._piece_logits([h[1:] for h in held]), strict=True):
+                out[i].append(y)
+            held.clear()
+
+        for i, text in enumerate(texts):
             words = tokens(text)
-            got = []
-            for at in range(0, len(words), STRIDE * BLOCK):  # very long texts in parts that overlap by a window
-                piece = words[at : at + STRIDE * BLOCK + WINDOW - STRIDE]
-                got.append((self.rows(piece), len(piece)))
-            out.append(got)
-        starts, owner = [], []
-        flat = [r for got in out for r, _ in got]
-        base = np.cumsum([0, *map(len, flat)])
-        # a reset of the cache in between would mix rows: the caller sends few enough texts at once
-        k = 0
-        for i, got in enumerate(out):
-            for _, n in got:
-                s = windows(n)
-                starts.append(np.stack([s + base[k], np.full(len(s), n + base[k])]))
-                owner.append(np.full(len(s), i))
-                k += 1
-        if not starts:
-            return [np.zeros(0)] * len(texts)
-        (first, last), own, rows = np.concatenate(starts, axis=1), np.concatenate(owner), np.concatenate(flat)
+            places = windows(len(words))
+            for k in range(0, len(places), PIECE):  # very long texts in parts
+                own = places[k : k + PIECE]
+                piece = words[own[0] : own[-1] + WINDOW]
+                if len(self.row) + len(piece) > CACHE:
+                    flush()
+                    self.row = {}
+                held.append((i, self.rows(piece), own - own[0]))
+        flush()
+        return [np.concatenate(y) if y else np.zeros(0) for y in out]
+
+    def _piece_logits(self, pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Logits of each piece's windows: (rows of its words, first words of its windows)."""
+        if not pieces:
+            return []
+        m, base = self.m, np.cumsum([0, *(len(r) for r, _ in pieces)])
+        rows = np.concatenate([r for r, _ in pieces])
+        first = np.concatenate([s + b for (_, s), b in zip(pieces, base[:-1], strict=True)])
+        last = np.concatenate([np.full(len(s), e) for (_, s), e in zip(pieces, base[1:], strict=True)])
         full = np.argsort(first + WINDOW > last, kind="stable")  # windows that texts' ends cut short come last
-        first, last, own = first[full], last[full], own[full]
+        first, last = first[full], last[full]
         y = np.zeros(len(first))
         for a in range(0, len(first), BLOCK):
             at = first[a : a + BLOCK, None] + np.arange(WINDOW)
@@ -235,10 +242,9 @@ class Scorer:
             d, on = 3 * HIDDEN, None if mask.all() else mask
             h = np.concatenate([recur(x[:, :, :d], m["uf"], on, False), recur(x[:, :, d:], m["ub"], on, True)], axis=2)
             y[a : a + BLOCK] = pool(m, h, mask)[3]
-        back = np.argsort(full)
-        y, own = y[back], own[back]
-        cut = np.searchsorted(own, np.arange(len(texts) + 1))
-        return [y[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        back = np.empty_like(y)
+        back[full] = y
+        return np.split(back, np.cumsum([len(s) for _, s in pieces])[:-1])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out, at = np.zeros(len(texts)), 0

@@ -189,6 +189,18 @@ def test_toxic_part_of_a_long_word():
     assert ((toxicity.Scorer(model).scores(texts[480:]) >= 0.7) == label[480:]).mean() > 0.95
 
 
+def test_toxicity_cache_keeps_rows(monkeypatch):
+    """A text with more different words than the cache holds is scored as with a large one."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) + (" grumblor" if k % 3 == 0 else "") for k in range(90)]
+    model = toxicity.fit(texts, np.array([k % 3 == 0 for k in range(90)], np.float32))
+    long = " ".join(f"v{i * 7919 % 10**6}" for i in range(60_000))
+    want = toxicity.Scorer(model).logits([long, texts[0]])
+    monkeypatch.setattr(toxicity, "CACHE", 40_000)
+    got = toxicity.Scorer(model).logits([long, texts[0]])
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, want, strict=True))
+
+
 def test_classifiers_odd(spark, odd):
     rows, df = odd
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 1), (5, None, None), (6, 0, 1), (6, 1, 1)], "doc_id bigint, quality int, toxic int")
