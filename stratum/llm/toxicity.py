@@ -2,12 +2,12 @@
 
 Inputs of a step are a word's own vector (telling and frequent words of the training sample) and the mean vector of its
 hashed runs of 4 and 6 bytes of characters, all of them (long words are several steps), so unknown spellings have an input, too. Two recurrent layers read a window of WINDOW words forward and
-backward; attention pools their states; a logistic layer scores the window. Windows overlap by a third, every word of every
-text is in at least one, and a document's score is that of its worst window.
+backward; attention pools their states; a logistic layer scores the window. Windows start at every word, the last one
+ends with the text, and a document's score is that of its worst window.
 
 Documents carry the labels, windows don't: the first windows to learn from are those with words or parts of words that go with
 the label (log odds on the sample); then the network picks each toxic document's worst window and the clean ones' worst windows, and
-learns from those. A last step fits scale and offset of the documents' scores.
+learns from those (windows to learn from start at every STRIDE-th word). A last step fits scale and offset of the documents' scores.
 
 The model is fitted on at most TRAIN_ROWS labelled documents outside the held-out fold, of at most LONGEST characters.
 Null and empty texts score 0. Without labels of both kinds every score is 0. Null ids fall in the fold of the empty text.
@@ -32,7 +32,7 @@ LONG_WORD = 64
 TRAIN_ROWS, LONGEST = 4_000, 200_000
 ROUNDS, EPOCHS, BATCH = 3, 3, 128
 MODULUS, HELD, LIMIT = 3, 1, 0.7
-CACHE, BLOCK, PIECE = 300_000, 1_024, 1_024
+CACHE, BLOCK, PIECE = 300_000, 1_024, 16_384
 _STRIP = b".,;:!?\"'()[]"
 
 
@@ -72,9 +72,12 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def windows(n: int) -> np.ndarray:
-    """First words of the windows over n words."""
-    return np.arange(0, max(n - WINDOW + STRIDE, 1), STRIDE) if n else np.zeros(0, np.int64)
+def windows(n: int, stride: int = 1) -> np.ndarray:
+    """First words of the windows over n words; the last one ends with the text."""
+    if not n:
+        return np.zeros(0, np.int64)
+    end = max(n - WINDOW, 0)
+    return np.append(np.arange(0, end, stride), end)
 
 
 # ---- network -------------------------------------------------------------------------------------------------------
@@ -201,7 +204,7 @@ class Scorer:
             self.row.update(zip(fresh, range(at, at + len(fresh)), strict=True))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
-    def logits(self, texts: list[str]) -> list[np.ndarray]:
+    def logits(self, texts: list[str], stride: int = 1) -> list[np.ndarray]:
         """Each text's windows' logits. Pieces are scored before the cache is emptied, so no row number outlives it."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -213,13 +216,15 @@ class Scorer:
 
         for i, text in enumerate(texts):
             words = tokens(text)
-            places = windows(len(words))
-            for k in range(0, len(places), PIECE):  # very long texts in parts
-                own = places[k : k + PIECE]
+            places, step = windows(len(words), stride), max(1, PIECE // stride)
+            for k in range(0, len(places), step):  # very long texts in parts
+                own = places[k : k + step]
                 piece = words[own[0] : own[-1] + WINDOW]
                 if len(self.row) + len(piece) > CACHE:
                     flush()
                     self.row = {}
+                elif len(held) >= BLOCK:
+                    flush()
                 held.append((i, self.rows(piece), own - own[0]))
         flush()
         return [np.concatenate(y) if y else np.zeros(0) for y in out]
@@ -294,9 +299,9 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
     worth = np.maximum(np.array([support(w) for w in names]), np.maximum.reduceat(gram_worth[bags[0]], first))
     coded = [np.array([row[w] for w in words], np.int64) for words in docs]
     del docs, one
-    places = [windows(len(c)) for c in coded]
+    places = [windows(len(c), STRIDE) for c in coded]
     worst: list[np.ndarray] = [np.array([worth[c[s : s + WINDOW]].max() for s in p]) for c, p in zip(coded, places, strict=True)]
-    for _ in range(ROUNDS):
+    for k_round in range(ROUNDS):
         ids, labels = [], []
         for c, p, v, y in zip(coded, places, worst, label, strict=True):
             if not len(p):
@@ -311,7 +316,7 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
         scorer = Scorer(m)
         worst = []
         for at in range(0, len(texts), 64):
-            worst += scorer.logits(texts[at : at + 64])
+            worst += scorer.logits(texts[at : at + 64], STRIDE if k_round < ROUNDS - 1 else 1)
     top = np.array([v.max() if len(v) else -10.0 for v in worst])
     a, b = 1.0, 0.0
     for _ in range(300):  # scale and offset by gradient steps on the documents' best logits

@@ -201,6 +201,12 @@ def test_toxicity_cache_keeps_rows(monkeypatch):
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, want, strict=True))
 
 
+def test_toxicity_windows_start_at_every_word():
+    for n in (1, 24, 25, 40, 41, 1000):
+        assert toxicity.windows(n).tolist() == list(range(max(n - toxicity.WINDOW, 0) + 1))
+        assert toxicity.windows(n, 16)[-1] == max(n - toxicity.WINDOW, 0)
+
+
 def test_classifiers_odd(spark, odd):
     rows, df = odd
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 1), (5, None, None), (6, 0, 1), (6, 1, 1)], "doc_id bigint, quality int, toxic int")
