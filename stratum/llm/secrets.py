@@ -4,7 +4,8 @@ Base kinds are patterns, matched leftmost and non-overlapping: the text between
 themselves (extract) give every position by a running sum, in code points. The method adds spans: candidate strings
 (20 or more characters of the base64 alphabet, with a digit and a letter) get the Shannon entropy of each sliding window
 of 20 characters from incremental counts; a candidate whose best window passes the threshold of its character class
-(hex or base64) is a span, unless the allow list matches or a base span overlaps it.
+(hex or base64) is a span, unless it is a path, a UUID or joined words as a whole or a base span overlaps it. Alphabets,
+counting runs and words like "example" exempt the windows that touch or hold them, not the candidate.
 
 Null texts count as empty and have no spans. Null ids, repeated rows and extra columns: each row is scanned by itself.
 Cost follows the text's length; the work on a span is done only for rows in which its pattern occurs.
@@ -27,8 +28,15 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Bits a character that the best window must reach, by class.
 THRESHOLDS = {"hex": 3.0, "base64": 3.75}
-#: Candidates that are no secrets: UUIDs, paths, alphabets and counting runs, examples, words joined by signs.
-ALLOW = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|/[^/]*/[^/]*/|abcdefgh|01234567|12345678|example|sample|dummy|xxxx|^[a-z]+([-_/=+][a-z]+)*[-_/=+]?[0-9]{0,4}$"
+#: A path's segment: words of one case (or with a capital) and short numbers.
+_WORD = "(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})"
+_SEGMENT = f"{_WORD}(?:[-_]{_WORD})*[0-9]{{0,4}}"
+#: Whole candidates that are no secrets: UUIDs, paths of three slashes or more, words joined by signs.
+ALLOW = rf"^(?i:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})$|^(?=(?:[^/]*/){{3}})/?{_SEGMENT}(?:/{_SEGMENT})*/?$|^(?i:[a-z]+([-_/=+][a-z]+)*[-_/=+]?[0-9]{{0,4}})$"
+#: Runs that no window may touch (alphabets and counting, as far as they go), and words that no window may hold whole.
+_LONGER = lambda run, rest: run + "".join(f"(?:{c}" for c in rest) + ")?" * len(rest)
+RUNS = "(?i)" + "|".join([_LONGER("abcdefgh", "ijklmnopqrstuvwxyz"), _LONGER("01234567", "89"), _LONGER("12345678", "90"), "xxxx+"])
+WORDS = ("(?i)(e)(xampl)(e)", "(?i)(s)(ampl)(e)", "(?i)(d)(umm)(y)")
 
 
 def spans(text: Column, pattern: str, least: Column | None = None, group: int = 0, size: int = 1) -> Column:
@@ -79,7 +87,15 @@ def entropy_spans(text: Column, base: Column) -> Column:
     apart = lambda e: ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
     found = spans(text, CANDIDATE, size=WINDOW)
     fresh = F.filter(found, lambda e: ~e["body"].rlike(ALLOW) & apart(e))
-    return F.filter(fresh, lambda e: best_entropy(e["body"]) >= limit(e["body"]))
+
+    def passes(e: Column) -> Column:
+        free = F.regexp_replace(e["body"], RUNS, " ")
+        for word in WORDS:
+            free = F.regexp_replace(free, word, "$1$2 $2$3")
+        parts = F.filter(F.split(free, " "), lambda w: F.length(w) >= WINDOW)
+        return F.exists(parts, lambda w: best_entropy(w) >= limit(e["body"]))
+
+    return F.filter(fresh, passes)
 
 
 def scan(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
