@@ -1,4 +1,4 @@
-"""Chunks of bodies, content addresses and block dedup (CH1-CH7, AG7, JN10)."""
+"""Chunks of bodies, content addresses and block dedup (CH2-CH6, AG7, JN10)."""
 from __future__ import annotations
 
 import numpy as np
