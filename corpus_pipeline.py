@@ -36,9 +36,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id. Rows that repeat its id and text are
     one document; rows without an id stay if a component has no other."""
-    found = simhash.near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
+    # a row is named by id and text, so that ids that repeat or are missing don't stand for rows of other components
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("th"))
+    named = docs.withColumn("__key", key)
+    found = simhash.near_duplicates(named, "__key")
+    stays = found.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    joined = named.join(stays, "__key", "left_semi")
     return joined.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 

@@ -455,3 +455,17 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and clean.count() == len(rows) and secrets.scan(clean).where("exists(spans, s -> s.kind < 3 and s.kind <> 0)").count() == 0
     assert all(r["n_chars"] == len(r["text"]) for r in clean.collect())
     assert p.run(spark, SF).selectExpr("count(distinct doc_id)").first()[0] > 0
+
+
+def test_pipeline_near_copies_with_repeated_and_null_ids(spark):
+    """One row of each component stays, whichever ids its rows share with other components."""
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"{k}w{i * 31 % 997}" for i in range(400))
+    a, b, c, d = (text(k) for k in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, c), (None, c + " end"), (None, d), (None, a), (2, b)]
+    got = p.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    fps = {r[0] for r in simhash.near_duplicates(spark.createDataFrame([(5, c), (6, c + " end")], "doc_id bigint, text string")).select("component_id").collect()}
+    assert len(fps) == 1  # c and its near copy are one component
+    kept = sorted(((r["doc_id"], r["text"][:2]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, "aw"), (2, "bw"), (None, "cw"), (None, "dw")], key=str)
