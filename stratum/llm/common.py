@@ -2,9 +2,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,18 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests, local mode)."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode (tests), where driver and tasks share it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="stratum-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: While an intermediate table is written: its shuffle files go when it stands, and a join whose side has been measured to
+#: be small in every task may keep that side in memory instead of sorting both (larger ones sort and spill).
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage and survive lost executors."""
 
@@ -41,29 +60,35 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
-    def tidy(self) -> None:
-        """Plans that are no longer in use let go of their shuffle files. Python gives its references back a little later than
-        it collects them, so the JVM looks twice."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.3)
-        self.spark._jvm.System.gc()
-
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        self.tidy()
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with settings(self.spark, _WRITING):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
+    def drop(self, *names: str) -> None:
+        """These tables, or all."""
         try:
             jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            for name in names or ("",):
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # the session has ended: the folder's owner cleans it
             pass
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """Names like the stems that none of the columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.transform(F.array(value), body)[0]

@@ -5,29 +5,41 @@
    is read; the j-th minimum is over the hashes' products with the j-th constant, so that lines with few different shingles
    have different minima, too. Equal lines meet in the minima's aggregation, which is combined before its shuffle, so texts
    aren't shuffled and a hot line costs a row a task.
-3. Forty minima make ten bands of four. Of two lines with Jaccard similarity 0.8, 99.5 % share a band.
+3. The sixteen minima are the points of a four by four grid. Its rows, columns and diagonals, no two of which share more
+   than one point, are twelve bands of four. Of two lines with Jaccard similarity 0.8, about 98 % share a band.
 4. In each band's bucket a pivot (the minimum under a fixed order) is compared with all others by exact Jaccard of the
    shingle sets. So a bucket of near copies costs one comparison a line.
 5. Verified links go to a distributed union-find (components).
-6. Buckets that hold lines of several components are dealt, without their pivots, into blocks of bounded size. Pairs of
-   blocks are compared inside an expression, in the smallest key that two lines of different components share: no pair is
-   left out, but only links leave it. Then the union-find runs again.
+6. Buckets that hold lines of several components are dealt, without their pivots, into blocks of bounded size. The lines of
+   two blocks are compared where the blocks meet, those of different components only, and in the smallest key that two
+   lines share: no pair is left out, and only links leave the task. Then the union-find runs again.
 7. Of a component's occurrences the first stays: smallest id, then text hash, then position.
 
+Buckets, lines and components that hold more than one in SHARE of all rows are few, whatever the corpus. Their keys are
+broadcast and their rows stay where they are; all others meet by hash.
+
 Null texts count as empty and stay null. Lines without a word always stay. A null id comes before all others. Repeated rows
-(same id and text) count once, and all of them get the same result. Lines under 7 units match only exactly. Extra columns
-stay as they are. Line identity in links is one 64-bit hash.
+(same id and text) count once, and all of them get the same result. Lines under 7 units match only exactly; very long lines
+are read whole. An empty table gives an empty one. Extra columns stay as they are, whatever their names. Line identity in
+links is one 64-bit hash.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, let, partitions, table
+from .common import NULL_ID, Scratch, let, partitions, table, unused
 from .components import components
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
+SHINGLE, SIDE = 7, 4
+MINIMA = SIDE * SIDE
+#: Lines of the grid: rows, columns, diagonals (point 4x + y with the same x, y, x xor y).
+BANDS = [[SIDE * x + y for x in range(SIDE) for y in range(SIDE) if same(x, y) == b] for same in (lambda x, y: x, lambda x, y: y, lambda x, y: x ^ y) for b in range(SIDE)]
+#: Similar: |A and B| / |A or B| >= 4 / 5, in whole numbers.
+PART, WHOLE = 4, 5
+STEP = 8
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
+SHARE, SAMPLED = 1_000, 64
 
 
 def constant(j: int, of: int) -> int:
@@ -40,64 +52,88 @@ def constant(j: int, of: int) -> int:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __th, __text): what identifies a document here, and its text."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__th"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    """(id, th, text): what identifies a document here, and its text."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def lines_of(own: DataFrame) -> DataFrame:
-    found = own.select("__id", "__th", F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
+    found = own.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return found.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h1", F.xxhash64("line"))
 
 
-def bands_of(occurrences: DataFrame) -> DataFrame:
-    """(h1, n, keys array<long>) of (h1, line): how often a line occurs, and its band keys (null under SHINGLE units).
+def signatures(occurrences: DataFrame) -> DataFrame:
+    """(h1, n, whole, m0...) of (h1, line): how often a line occurs, if it has SHINGLE units, and its minima.
 
-    Every occurrence is hashed where it is read, so that minima are shuffled and texts aren't; copies meet map-side."""
-    b = occurrences.select("h1", F.encode("line", "UTF-16BE").alias("b")).withColumn("units", F.expr("cast(length(b) div 2 as int)"))
-    at = b.select("h1", "b", "units", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("units") - SHINGLE))).alias("i"))
-    h = F.shiftrightunsigned(F.xxhash64(F.substring("b", 2 * F.col("i") + 1, F.lit(2 * SHINGLE))), 33)
-    h = at.select("h1", (F.col("units") >= SHINGLE).alias("whole"), "i", h.alias("h"))
+    Every occurrence is hashed where it is read, so that minima are shuffled and texts aren't; copies meet map-side. A
+    generated row stands for STEP shingles (the last one stands in for those past the end)."""
+    b = occurrences.select("h1", F.encode("line", "UTF-16BE").alias("b")).withColumn("last", F.expr(f"greatest(0, cast(length(b) div 2 as int) - {SHINGLE})"))
+    at = b.select("h1", "b", "last", (F.length("b") >= 2 * SHINGLE).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    place = lambda k: 2 * F.least(F.col("i") + k, F.col("last")) + 1
+    h = at.select("h1", "whole", "i", *[F.shiftrightunsigned(F.xxhash64(F.substring("b", place(k), F.lit(2 * SHINGLE))), 33).alias(f"s{k}") for k in range(STEP)])
     # 31 bits times 31 bits: no overflow
-    minima = [F.min((F.col("h") * F.lit(constant(j, BANDS * ROWS)).cast("long")).bitwiseAND(F.lit(2**31 - 1))).alias(f"m{j}") for j in range(BANDS * ROWS)]
+    value = lambda k, j: (F.col(f"s{k}") * F.lit(constant(j, MINIMA)).cast("long")).bitwiseAND(F.lit(2**31 - 1))
+    minima = [F.min(F.least(*[value(k, j) for k in range(STEP)])).alias(f"m{j}") for j in range(MINIMA)]
     sig = h.groupBy("h1", "whole").agg(*minima, F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
-    band = lambda k: F.xxhash64(F.lit(k), *[f"m{k + i * BANDS}" for i in range(ROWS)])
-    return sig.select("h1", "n", F.when(F.col("whole"), F.array(*[band(k) for k in range(BANDS)])).alias("keys"))
-
-
-def hashed(side: DataFrame) -> DataFrame:
-    """A side with one small row a key, held by hash in each task of a join: the larger side needs no sort."""
-    return side.hint("shuffle_hash")
+    return sig.select("h1", "n", "whole", *[F.col(f"m{j}").cast("int").alias(f"m{j}") for j in range(MINIMA)])
 
 
 def shingles(line: Column) -> Column:
-    """The set of a line's shingles, as hashes; units of 2 bytes."""
+    """A line's shingles, as hashes; units of 2 bytes."""
     raw = F.encode(line, "UTF-16BE")
-    return let(raw, lambda b: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(b) - (2 * SHINGLE - 1), F.lit(2)), lambda i: F.xxhash64(F.substr(b, i, F.lit(2 * SHINGLE))))))
+    return let(raw, lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (2 * SHINGLE - 1), F.lit(2)), lambda i: F.xxhash64(F.substr(b, i, F.lit(2 * SHINGLE)))))
 
 
-def near(a: Column, b: Column) -> Column:
-    """Whether two shingle sets have the similarity; sets of too different sizes aren't intersected."""
-    sizes = F.least(F.size(a), F.size(b)) >= F.lit(SIMILARITY) * F.greatest(F.size(a), F.size(b))
-    return sizes & let(F.size(F.array_intersect(a, b)), lambda both: both >= F.lit(SIMILARITY) * (F.size(a) + F.size(b) - both))
+def hot(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The rows of those keys that hold more than one in SHARE of all: fewer than SHARE of them."""
+    return counted.where(F.col(n) > max(total // SHARE, 1_000))
 
 
-def similar(a: Column, b: Column) -> Column:
-    return let(F.struct(shingles(a).alias("a"), shingles(b).alias("b")), lambda s: near(s["a"], s["b"]))
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int, value: str) -> DataFrame:
+    """left join right (key, value, n), where n tells how many of the total rows a key has on the left."""
+    busy = hot(right, key, n, total).select(F.col(key).alias("__k"), F.col(value).alias("__busy"))
+    if busy.isEmpty():
+        return left.join(right.select(key, value), key)
+    # fewer than SHARE rows; rows with a busy key are dealt by a hash of their own and find nothing on the right
+    marked = left.join(F.broadcast(busy), left[key] == F.col("__k"), "left").drop("__k")
+    marked = marked.withColumn("__deal", F.when(F.col("__busy").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id", "th", "pos"), F.lit(SHARE)).cast("int")))
+    rest = right.select(F.col(key).alias("__k"), F.col(value).alias("__value"), F.lit(0).alias("__none"))
+    found = marked.join(rest, (marked[key] == rest["__k"]) & (marked["__deal"] == rest["__none"]), "left")
+    return found.withColumn(value, F.coalesce("__busy", "__value")).where(F.col(value).isNotNull()).select(*left.columns, value)
 
 
-def buckets(keys: DataFrame) -> DataFrame:
-    """(key, h1, p, n) of the buckets with two lines or more: each line's key, and the bucket's pivot and size."""
-    every = keys.select(F.explode("keys").alias("key"), "h1")
+def buckets(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, h1, p, n) of the buckets with two lines or more: each line's keys, and the bucket's pivot and size. A key's
+    last four bits are its band."""
     mix = F.lit(0x5851F42D4C957F2D)
-    pivots = every.groupBy("key").agg(F.min(F.col("h1").bitwiseXOR(mix)).alias("p"), F.count("*").alias("n")).where("n > 1")
-    return every.join(hashed(pivots.select("key", F.col("p").bitwiseXOR(mix).alias("p"), "n")), "key")
+    band = lambda k: F.xxhash64(F.lit(k), *[f"m{j}" for j in BANDS[k]]).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(k))
+    entries = lambda sig: sig.select("h1", F.explode(F.array(*[band(k) for k in range(len(BANDS))])).alias("key"))
+
+    def pivots(every: DataFrame) -> DataFrame:
+        least = every.groupBy("key").agg(F.min(F.col("h1").bitwiseXOR(mix)).alias("p"), F.count("*").alias("n"))
+        return least.where("n > 1").select("key", F.col("p").bitwiseXOR(mix).alias("p"), "n")
+
+    every = entries(made)
+    # a sample by hash finds the keys that one task shouldn't hold; it decides where rows meet, not which
+    sample = made.where(F.pmod("h1", F.lit(SAMPLED)) == 0)
+    large = max(sample.count() // SHARE, 64)
+    busy = scratch.put(entries(sample).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key"), "busy")
+    if busy.isEmpty():
+        dealt = every.repartition("key")
+        return dealt.join(pivots(dealt), "key")
+    # fewer than SHARE keys a band
+    few = F.broadcast(busy)
+    dealt, stay = every.join(few, "key", "left_anti").repartition("key"), every.join(few, "key", "left_semi")
+    return dealt.join(pivots(dealt), "key").unionByName(stay.join(F.broadcast(pivots(stay)), "key"))
 
 
 def pivot_links(tried: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified links (u, v) between each bucket's pivot and its other lines."""
-    asked = tried.where("h1 <> p").select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")).distinct()
-    a, b = texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), texts.select(F.col("h1").alias("v"), F.col("line").alias("b"))
-    return scratch.put(asked.join(a, "u").join(b, "v").where(similar(F.col("a"), F.col("b"))).select("u", "v"), "links")
+    asked = tried.where("h1 <> p").select("h1", "p").distinct()
+    pairs = asked.join(texts.select("h1", F.col("line").alias("a")), "h1").join(texts.select(F.col("h1").alias("p"), F.col("line").alias("b")), "p")
+    # a generated row: so that the condition doesn't hash the shingles again at each of its places
+    sets = pairs.select("h1", "p", F.explode(F.array(F.struct(shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b")))).alias("s"))
+    alike = WHOLE * F.size(F.array_intersect("s.a", "s.b")) >= PART * F.size(F.array_union("s.a", "s.b"))
+    return scratch.put(sets.where(alike).select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")), "links")
 
 
 def block_links(tried: DataFrame, linked: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -118,22 +154,24 @@ def block_links(tried: DataFrame, linked: DataFrame, texts: DataFrame, scratch:
     pairs = left.join(held.select("key", "block", F.col("items").alias("y")), ["key", "block"])
     pairs = pairs.repartition(4 * partitions(members.sparkSession), "key", "i", "block")  # small rows, long work: not to be merged into few tasks
     same = F.col("i") == F.col("block")
-    sets = lambda items: F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), m["root"].alias("root"), m["keys"].alias("keys"), shingles(m["line"]).alias("set")))
 
     def asked(a: Column, b: Column) -> Column:
         return (a["root"] != b["root"]) & ~F.arrays_overlap(a["keys"], b["keys"])
 
-    def meets(a: Column, b: Column) -> Column:
-        sizes = F.least(F.size(a["set"]), F.size(b["set"])) >= F.lit(SIMILARITY) * F.greatest(F.size(a["set"]), F.size(b["set"]))
-        return (~same | (a["h1"] < b["h1"])) & sizes & asked(a, b) & near(a["set"], b["set"])
-
     # shingle sets only for lines that have a partner to be compared with, and once where a block meets itself
+    sets = lambda items: F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), m["root"].alias("root"), m["keys"].alias("keys"), F.array_distinct(shingles(m["line"])).alias("set")))
     xs = sets(F.filter("x", lambda a: F.exists("y", lambda b: asked(a, b))))
-    ys = sets(F.filter("y", lambda b: F.exists("x", lambda a: asked(a, b))))
-    link = lambda a, b: F.struct(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v"))
-    links = lambda x, y: F.flatten(F.transform(x, lambda a: F.transform(F.filter(y, lambda b: meets(a, b)), lambda b: link(a, b))))
-    found = let(xs, lambda x: let(F.when(same, x).otherwise(ys), lambda y: links(x, y)))
-    return scratch.put(pairs.select(F.explode(found).alias("l")).select("l.*"), "links-blocks")
+    ys = F.when(same, F.lit(None)).otherwise(sets(F.filter("y", lambda b: F.exists("x", lambda a: asked(a, b)))))
+    ready = pairs.select(same.alias("same"), xs.alias("x"), ys.alias("y")).select("same", "x", F.coalesce("y", "x").alias("y"))
+    # the inner explode would have the optimizer ask for arrays that aren't empty, and make them again for it
+    met = ready.select("same", "y", F.explode_outer("x").alias("a")).select("same", "a", F.explode_outer("y").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    size = lambda m: F.size(m["set"])
+    met = met.where(a.isNotNull() & b.isNotNull() & (~F.col("same") | (a["h1"] < b["h1"])) & asked(a, b) & (WHOLE * F.least(size(a), size(b)) >= PART * F.greatest(size(a), size(b))))
+    both = F.size(F.array_intersect(a["set"], b["set"]))
+    # |A and B| / (|A| + |B| - |A and B|) >= PART / WHOLE, with the common number on one side
+    alike = (WHOLE + PART) * both >= PART * (size(a) + size(b))
+    return scratch.put(met.where(alike).select(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v")), "links-blocks")
 
 
 def line_components(tried: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -144,41 +182,45 @@ def line_components(tried: DataFrame, texts: DataFrame, scratch: Scratch) -> Dat
 
 
 def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
-    """(__id, __th, removed array<int>): positions of the lines that go, for documents that have any."""
+    """(id, th, removed array<int>): positions of the lines that go, for documents that have any."""
     occurrences = lines_of(own)
-    made = scratch.put(bands_of(occurrences), "bands")
-    tried = scratch.put(buckets(made.where("keys is not null")), "tried")
+    made = scratch.put(signatures(occurrences), "signatures")
+    tried = scratch.put(buckets(made.where("whole"), scratch), "tried")
     wanted = tried.select("h1").distinct()
-    texts = scratch.put(occurrences.select("h1", "line").join(hashed(wanted), "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "texts")
+    texts = scratch.put(occurrences.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "texts")
     linked = line_components(tried, texts, scratch)
-    again = made.where("n > 1").select("h1").distinct()
     named = linked.union(linked.select("root", "root").distinct())
-    roots = again.join(named, again["h1"] == named["node"], "full").select(F.coalesce("h1", "node").alias("h1"), F.coalesce("root", "h1").alias("root"))
-    roots = scratch.put(roots, "roots")
-    for name in ("bands", "texts", "tried", "links", "blocks", "links-blocks"):
-        scratch.drop(name)
-    of = scratch.put(occurrences.select("h1", "__id", "__th", "pos").join(hashed(roots), "h1").select("root", "__id", "__th", "pos"), "occurrences")
-    scratch.tidy()
-    first = of.groupBy("root").agg(F.min(F.struct("__id", "__th", "pos")).alias("first"))
-    gone = of.join(first, "root").where(F.struct("__id", "__th", "pos") != F.col("first"))
-    return gone.groupBy("__id", "__th").agg(F.collect_set("pos").alias("removed"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The rows with `__n_lines` and `__n_removed` added and the text without its later duplicates."""
+    counted = made.select("h1", "n").join(named, made["h1"] == named["node"], "left").select("h1", "n", F.coalesce("root", "h1").alias("root"), "node")
+    roots = scratch.put(counted.where("n > 1 or node is not null").select("h1", "n", "root"), "roots")
+    total = int(roots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    scratch.drop("signatures", "busy", "texts", "tried", "links", "blocks", "links-blocks")
+    of = scratch.put(join_counted(occurrences.select("h1", "id", "th", "pos"), roots, "h1", "n", total, "root").select("root", "id", "th", "pos"), "occurrences")
+    first = scratch.put(of.groupBy("root").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n")), "first")
+    gone = join_counted(of, first, "root", "n", total, "first").where(F.struct("id", "th", "pos") != F.col("first"))
+    made = scratch.put(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("removed")), "gone")
+    scratch.drop("roots", "occurrences", "first")
+    return made
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, counts: tuple[str, str] | None = ("__n_lines", "__n_removed")) -> DataFrame:
+    """The rows with the text without its later duplicates; with the number of lines and of those removed, if columns for
+    them are named (columns of these names are replaced)."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     gone = duplicate_lines(keyed(docs, id_col, text_col), scratch)
-    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__th": F.xxhash64(text_col)})
-    joined = marked.join(hashed(gone), ["__id", "__th"], "left")
+    one, two, removed = unused(docs.columns, "id", "th", "removed")
+    marked = docs.withColumns({one: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), two: F.xxhash64(text_col)})
+    joined = marked.join(gone.toDF(one, two, removed), [one, two], "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
     def rest(v: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col("removed"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col(removed))
         return F.array_join(F.transform(stay, lambda i: v[i]), "\n")
 
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(let(lines, rest))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-    return joined.withColumns({"__n_lines": n.cast("long"), "__n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"), text_col: text}).drop("__id", "__th", "removed")
+    added = {text_col: F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(let(lines, rest))}
+    if counts:
+        n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
+        added |= {counts[0]: n.cast("long"), counts[1]: F.coalesce(F.size(removed), F.lit(0)).cast("long")}
+    return joined.withColumns(added).select(*docs.columns, *(c for c in counts or () if c not in docs.columns))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
