@@ -10,9 +10,9 @@
 4. In each band's bucket a pivot (the minimum under a fixed order) is compared with all others by exact Jaccard of the
    shingle sets. So a bucket of near copies costs one comparison a line.
 5. Verified links go to a distributed union-find (components).
-6. Buckets that hold lines of several components are dealt, without their pivots, into blocks of bounded size. The lines of
-   two blocks are compared where the blocks meet, those of different components only, and in the smallest key that two
-   lines share: no pair is left out, and only links leave the task. Then the union-find runs again.
+6. Buckets that hold lines of several components are dealt, without their pivots, into blocks of bounded size. Where two
+   blocks meet, lines of different components with nine or more equal minima are compared, in the smallest key that they
+   share; of pairs of similarity 0.8 that share a band, 99.6 % have nine. Then the union-find runs again.
 7. Of a component's occurrences the first stays: smallest id, then text hash, then position.
 
 Buckets, lines and components that hold more than one in SHARE of all rows are few, whatever the corpus. Their keys are
@@ -38,6 +38,7 @@ BANDS = [[SIDE * x + y for x in range(SIDE) for y in range(SIDE) if same(x, y) =
 #: Similar: |A and B| / |A or B| >= 4 / 5, in whole numbers.
 PART, WHOLE = 4, 5
 STEP = 8
+AGREE = 9
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
 SHARE, SAMPLED = 1_000, 64
 
@@ -126,20 +127,20 @@ def buckets(made: DataFrame, scratch: Scratch) -> DataFrame:
     return dealt.join(pivots(dealt), "key").unionByName(stay.join(F.broadcast(pivots(stay)), "key"))
 
 
-def pivot_links(tried: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified links (u, v) between each bucket's pivot and its other lines."""
-    asked = tried.where("h1 <> p").select("h1", "p").distinct()
+def verified(asked: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links (u, v) of those pairs (h1, p) whose shingle sets are similar."""
     pairs = asked.join(texts.select("h1", F.col("line").alias("a")), "h1").join(texts.select(F.col("h1").alias("p"), F.col("line").alias("b")), "p")
     # a generated row: so that the condition doesn't hash the shingles again at each of its places
     sets = pairs.select("h1", "p", F.explode(F.array(F.struct(shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b")))).alias("s"))
     alike = WHOLE * F.size(F.array_intersect("s.a", "s.b")) >= PART * F.size(F.array_union("s.a", "s.b"))
-    return scratch.put(sets.where(alike).select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")), "links")
+    return scratch.put(sets.where(alike).select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")), name)
 
 
-def block_links(tried: DataFrame, linked: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def block_links(tried: DataFrame, made: DataFrame, linked: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links across components among the lines of each bucket that are not its pivot.
 
-    Two lines are compared in the smallest key they share. A line's smaller keys go with it, to tell."""
+    Two lines are compared in the smallest key they share, if AGREE of their minima are equal. A line's smaller keys go
+    with it, to tell."""
     members = tried.where("n > 2 and h1 <> p").select("key", "h1")
     rooted = members.join(linked, members["h1"] == linked["node"], "left").select("key", "h1", F.coalesce("root", "h1").alias("root"))
     sized = rooted.join(texts.select("h1", F.length("line").alias("units")), "h1")
@@ -147,37 +148,38 @@ def block_links(tried: DataFrame, linked: DataFrame, texts: DataFrame, scratch:
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("units") / BLOCK_UNITS)).cast("int")
     members = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     own = tried.groupBy("h1").agg(F.collect_list("key").alias("keys"))
+    signed = made.select("h1", F.array(*[f"m{j}" for j in range(MINIMA)]).alias("minima"))
     smaller = F.filter("keys", lambda k: k < F.col("key"))
-    full = members.join(own, "h1").join(texts, "h1").withColumn("keys", smaller)
-    held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "line")).alias("items")), "blocks")
+    full = members.join(own, "h1").join(signed, "h1").join(texts, "h1").withColumn("keys", smaller)
+    held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "minima", "line")).alias("items")), "blocks")
     left = held.select("key", F.col("block").alias("i"), F.col("items").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     pairs = left.join(held.select("key", "block", F.col("items").alias("y")), ["key", "block"])
     pairs = pairs.repartition(4 * partitions(members.sparkSession), "key", "i", "block")  # small rows, long work: not to be merged into few tasks
     same = F.col("i") == F.col("block")
+    agree = lambda a, b: F.aggregate(F.sequence(F.lit(0), F.lit(MINIMA - 1)), F.lit(0), lambda n, j: n + (a["minima"][j] == b["minima"][j]).cast("int"))
 
     def asked(a: Column, b: Column) -> Column:
-        return (a["root"] != b["root"]) & ~F.arrays_overlap(a["keys"], b["keys"])
-
-    # shingle sets only for lines that have a partner to be compared with, and once where a block meets itself
-    sets = lambda items: F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), m["root"].alias("root"), m["keys"].alias("keys"), F.array_distinct(shingles(m["line"])).alias("set")))
-    xs = sets(F.filter("x", lambda a: F.exists("y", lambda b: asked(a, b))))
-    ys = F.when(same, F.lit(None)).otherwise(sets(F.filter("y", lambda b: F.exists("x", lambda a: asked(a, b)))))
-    ready = pairs.select(same.alias("same"), xs.alias("x"), ys.alias("y")).select("same", "x", F.coalesce("y", "x").alias("y"))
-    # the inner explode would have the optimizer ask for arrays that aren't empty, and make them again for it
-    met = ready.select("same", "y", F.explode_outer("x").alias("a")).select("same", "a", F.explode_outer("y").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    size = lambda m: F.size(m["set"])
-    met = met.where(a.isNotNull() & b.isNotNull() & (~F.col("same") | (a["h1"] < b["h1"])) & asked(a, b) & (WHOLE * F.least(size(a), size(b)) >= PART * F.greatest(size(a), size(b))))
-    both = F.size(F.array_intersect(a["set"], b["set"]))
+        return (a["root"] != b["root"]) & (~same | (a["h1"] < b["h1"])) & ~F.arrays_overlap(a["keys"], b["keys"]) & (agree(a, b) >= AGREE)
+
+    # for each line of one block, the places of the lines of the other that it is compared with
+    places = F.transform("x", lambda a: F.filter(F.sequence(F.lit(0), F.size("y") - 1), lambda j: let(F.col("y")[j], lambda b: asked(a, b))))
+    found = pairs.select(same.alias("same"), "x", "y", places.alias("places"))
+    sets = lambda items: F.when(F.exists("places", lambda p: F.size(p) > 0), F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), F.array_distinct(shingles(m["line"])).alias("set"))))
+    ready = found.select("same", sets(F.col("y")).alias("y"), F.when(~F.col("same"), sets(F.col("x"))).alias("x"), "places").select(F.coalesce("x", "y").alias("x"), "y", "places")
+    # inner generators would have the optimizer ask for arrays that aren't empty, and make them again for it
+    met = ready.select("x", "y", F.posexplode_outer("places").alias("i", "js")).select("x", "y", "i", F.explode_outer("js").alias("j")).where("j is not null")
+    a, b = F.col("x")[F.col("i")], F.col("y")[F.col("j")]
+    both, total = F.size(F.array_intersect(a["set"], b["set"])), F.size(a["set"]) + F.size(b["set"])
     # |A and B| / (|A| + |B| - |A and B|) >= PART / WHOLE, with the common number on one side
-    alike = (WHOLE + PART) * both >= PART * (size(a) + size(b))
-    return scratch.put(met.where(alike).select(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v")), "links-blocks")
+    alike = met.where((WHOLE + PART) * both >= PART * total)
+    return scratch.put(alike.select(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v")), "links-blocks")
 
 
-def line_components(tried: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Lines by bucket (buckets) and their texts -> (node, root)."""
-    linked = components(pivot_links(tried, texts, scratch), scratch, "components")
-    more = block_links(tried, linked, texts, scratch)
+def line_components(tried: DataFrame, made: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lines by bucket (buckets), their minima and their texts -> (node, root)."""
+    first = verified(tried.where("h1 <> p").select("h1", "p").distinct(), texts, scratch, "links")
+    linked = components(first, scratch, "components")
+    more = block_links(tried, made, linked, texts, scratch)
     return components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch, "components-again")
 
 
@@ -188,7 +190,7 @@ def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     tried = scratch.put(buckets(made.where("whole"), scratch), "tried")
     wanted = tried.select("h1").distinct()
     texts = scratch.put(occurrences.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "texts")
-    linked = line_components(tried, texts, scratch)
+    linked = line_components(tried, made, texts, scratch)
     named = linked.union(linked.select("root", "root").distinct())
     counted = made.select("h1", "n").join(named, made["h1"] == named["node"], "left").select("h1", "n", F.coalesce("root", "h1").alias("root"), "node")
     roots = scratch.put(counted.where("n > 1 or node is not null").select("h1", "n", "root"), "roots")
