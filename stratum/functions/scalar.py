@@ -107,10 +107,10 @@ def arn(bucket: Column, key: Column | None = None) -> Column:
 
 
 def query_pairs(query: Column) -> Column:
-    """FN17: map of decoded names and values; '+' is a space, malformed escapes stay as they are."""
-    decoded = lambda v: F.coalesce(F.try_url_decode(v), v)
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    item = lambda p: F.struct(decoded(F.split(p, "=", 2)[0]).alias("key"), decoded(F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit(""))).alias("value"))
+    """FN17: decoded names and values in order; '+' is a space, a malformed escape stays as it is, a pair without '=' goes."""
+    decoded = lambda v: F.url_decode(F.regexp_replace(v, "%(?![0-9A-Fa-f]{2})", "%25"))
+    pairs = F.filter(F.split(query, "&"), lambda p: p.contains("="))
+    item = lambda p: F.struct(decoded(F.split(p, "=", 2)[0]).alias("key"), decoded(F.split(p, "=", 2)[1]).alias("value"))
     return F.transform(pairs, item)
 
 

@@ -1,13 +1,15 @@
 """Last-write-wins registers as snapshots: merge(current, incoming) -> next (WIN1, DML1-DML9, JN12, FLT14).
 
-A winner is a max_by over a struct, which combines before the shuffle: one exchange on the key, no sort, and a hot key costs
-one row a task.
+A winner is a max_by over a struct, which combines before the shuffle: one exchange on the key, and a hot key costs one row
+a task. Structs can't be aggregated by hash, so each side of the exchange sorts its rows by key; sorts spill.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import shard_id
+
 
 def winners(rows: DataFrame, keys: list[str], ts: str, arrival: Column | None = None, convergent: bool = False) -> DataFrame:
     """The newest row of each key. Ties keep the first to arrive; convergent: the largest content hash, so sites agree (Q1)."""
@@ -31,7 +33,7 @@ def live(objects: DataFrame) -> DataFrame:
 
 def tombstone(keys: DataFrame, ts: Column, like: DataFrame) -> DataFrame:
     """DML3: rows that delete (bucket, key); other columns are empty."""
-    empty = {"size": F.lit(0).cast("bigint"), "etag": F.lit(""), "updated_at": ts.cast("bigint"), "deleted": F.lit(True)}
+    empty = {"size": F.lit(0).cast("bigint"), "etag": F.lit(""), "updated_at": ts.cast("bigint"), "deleted": F.lit(True), "shard_id": shard_id(F.col("key"))}
     columns = []
     for field in like.schema:
         columns.append(F.col(field.name) if field.name in ("bucket", "key") else empty.get(field.name, F.array().cast(field.dataType) if field.dataType.typeName() == "array" else F.lit(None)).cast(field.dataType).alias(field.name))

@@ -6,27 +6,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import policy, scalar
-from ..operators import chunking, gc, listing, lww, multipart, ranges, replication, usage
+from ..operators import chunking, gc, listing, lww, multipart, ranges, replication, site, usage
 from ..sources import views
+from ..sources.store import ParquetBlobs, Store
 from ..streaming import facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-NOW, GRACE, SITE = 1_000_000, 300_000, "site-0"
-PEERS = ["site-1", "site-2", "site-3"]
+NOW, GRACE, SITE = 1_000_000, 300_000, "site-1"
+PEERS = ["site-2", "site-3", "site-4"]
 
 # ---- the model in SQL ------------------------------------------------------------------------------------------------
 _CTE = {
     "objects": "SELECT source AS bucket, lang || '/' || lpad(doc_id::VARCHAR, 8, '0') AS key, strlen(text)::BIGINT AS size, md5(text) AS etag, doc_id * 1000 AS updated_at, doc_id % 10 = 0 AS deleted FROM documents",
     "webpages": "SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS bucket, regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS key, strlen(html)::BIGINT AS size FROM pages",
     "puts": "SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate)::BIGINT AS ts, l_partkey, l_suppkey, l_returnflag = 'R' AS deleted FROM lineitem",
-    "blocks": "SELECT sha256(p_partkey::VARCHAR) AS hash, p_size::BIGINT AS size FROM part",
-    "locations": "SELECT DISTINCT sha256(l_partkey::VARCHAR) AS hash, 'site-' || (l_suppkey % 7)::VARCHAR AS location_id FROM lineitem WHERE l_orderkey % 8 = 0",
-    "manifests": "SELECT l_orderkey, max(l_returnflag) = 'R' AS deleted FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1",
-    "live": "SELECT DISTINCT sha256(l_partkey::VARCHAR) AS hash FROM lineitem JOIN manifests USING (l_orderkey) WHERE NOT deleted UNION SELECT sha256(p_partkey::VARCHAR) FROM part WHERE p_partkey % 50 = 1",
-    "pending": "SELECT sha256(p_partkey::VARCHAR) AS hash, (p_partkey * 1000)::BIGINT AS not_before_ms FROM part WHERE p_partkey % 7 = 0",
-    "held": "SELECT hash FROM locations WHERE location_id = 'site-0'",
+    "lines": "SELECT *, sha256(l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR) AS hash FROM lineitem",
+    "blocks": "SELECT hash, max(l_quantity::BIGINT) AS size FROM lines GROUP BY hash",
+    "locations": "SELECT DISTINCT hash, 'site-' || l_linenumber::VARCHAR AS location_id FROM lines",
+    "manifests": "SELECT l_orderkey, max(l_returnflag) = 'R' AS deleted FROM lines GROUP BY 1",
+    "live": "SELECT DISTINCT hash FROM lines JOIN manifests USING (l_orderkey) WHERE NOT deleted UNION SELECT hash FROM lines WHERE l_tax = 0",
+    "pending": "SELECT sha256(l_partkey::VARCHAR || '-' || s::VARCHAR) AS hash, min(l_quantity::BIGINT * 40000) AS not_before_ms FROM (SELECT l_partkey, unnest([l_suppkey, -l_suppkey]) AS s, l_quantity FROM lineitem WHERE l_discount = 0) GROUP BY 1",
+    "held": "SELECT hash FROM locations WHERE location_id = 'site-1'",
     "queue": "SELECT 'site-' || (o_custkey % 3)::VARCHAR AS target, sha256(o_orderkey::VARCHAR) AS hash, (epoch_us(o_orderdate) // 1000 + (o_orderkey % 13) * 60000)::BIGINT AS next_attempt_at, (o_orderkey % 13)::INTEGER AS attempts, (epoch_us(o_orderdate) // 1000)::BIGINT AS enqueued_at FROM orders",
     "parts": "SELECT conv_id::VARCHAR AS upload_id, turn::INTEGER AS part_number, strlen(coalesce(text, ''))::BIGINT AS size, md5(coalesce(text, '')) AS etag FROM conversations",
     "facts": "SELECT event_id AS seq, epoch_us(ts)::BIGINT AS ts, 'site-' || (event_id % 3)::VARCHAR AS origin, CASE WHEN event_type = 'error' THEN 'object_delete' ELSE 'object_put' END AS kind, 'user/' || user_id::VARCHAR AS key, value FROM events",
@@ -34,7 +37,7 @@ _CTE = {
     "pieces": "SELECT doc_id, (o // 1024)::INTEGER AS pos, encode(text)[o + 1 : o + 1024] AS data FROM (SELECT doc_id, text, unnest(range(0, strlen(text), 1024)) AS o FROM documents)",
     "chunks": "SELECT doc_id, pos, sha256(data) AS hash, octet_length(data)::BIGINT AS size FROM pieces",
 }
-_NEEDS = {"live": ["manifests"], "held": ["locations"], "chunks": ["pieces"]}
+_NEEDS = {"blocks": ["lines"], "locations": ["lines"], "manifests": ["lines"], "live": ["lines", "manifests"], "held": ["lines", "locations"], "chunks": ["pieces"]}
 
 
 def _with(names: str, body: str) -> str:
@@ -95,8 +98,8 @@ def lww_merge_two_sites(spark, sf):
 @query(_with("puts", "SELECT l_orderkey, l_linenumber, max(ts) AS ts, count(*)::BIGINT AS n FROM (SELECT * FROM puts QUALIFY rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC) = 1) GROUP BY 1, 2 HAVING count(*) > 1"))
 def lww_conflict_audit(spark, sf):
     puts = views.puts(spark, sf)
-    top = puts.groupBy(*_KEY).agg(F.max("ts").alias("ts"))
-    return puts.select(*_KEY, "ts").join(top, [*_KEY, "ts"]).groupBy(*_KEY, "ts").agg(F.count("*").alias("n")).where("n > 1")
+    times = puts.groupBy(*_KEY, "ts").agg(F.count("*").alias("n"))
+    return times.groupBy(*_KEY).agg(F.max("ts").alias("ts"), F.max_by("n", "ts").alias("n")).where("n > 1")
 
 
 # ---- listing: SRC3, SRC4, SRC12, FLT1-FLT6, ORD1-ORD9, AG1, AG6, SET5, FN12, API3, API8-API14 ------------------------------
@@ -168,18 +171,18 @@ def head_object(spark, sf):
     return listing.head(views.objects(spark, sf), "src1", "en/00000001").select("bucket", "key", "size", "etag", "updated_at")
 
 
-@query(_with("parts", "SELECT part_number, size, etag FROM parts WHERE upload_id = '3' AND part_number > 1 ORDER BY part_number LIMIT 4"))
+@query(_with("parts", "SELECT part_number, size, etag, n > 4 AS is_truncated FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY part_number) AS r FROM parts WHERE upload_id = '3' AND part_number > 1) WHERE r <= 4"))
 def list_parts(spark, sf):
-    return listing.parts(views.upload_parts(spark, sf), "chat", "3", 1, 4).select("part_number", "size", "etag")
+    return listing.parts(views.upload_parts(spark, sf), "chat", "3", 1, 4).select("part_number", "size", "etag", "is_truncated")
 
 
 def _uploads(spark, sf):
     return views.raw(spark, sf, "conversations").where("turn = 0").select(F.lit("chat").alias("bucket"), F.concat(F.col("role"), F.lit("/"), F.col("conv_id").cast("string")).alias("key"), F.col("conv_id").cast("string").alias("upload_id"))
 
 
-@query("SELECT role || '/' || conv_id::VARCHAR AS key, conv_id::VARCHAR AS upload_id FROM conversations WHERE turn = 0 AND role || '/' || conv_id::VARCHAR ILIKE 'USER/%' AND role || '/' || conv_id::VARCHAR > 'user/2' ORDER BY 1, 2 LIMIT 20")
+@query("SELECT key, upload_id, n > 20 AS is_truncated FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY key, upload_id) AS r FROM (SELECT role || '/' || conv_id::VARCHAR AS key, conv_id::VARCHAR AS upload_id FROM conversations WHERE turn = 0) WHERE key ILIKE 'USER/%' AND key > 'user/2') WHERE r <= 20")
 def list_uploads(spark, sf):
-    return listing.uploads(_uploads(spark, sf), "chat", "USER/", "user/2", 20, like=True).select("key", "upload_id")
+    return listing.uploads(_uploads(spark, sf), "chat", "USER/", "user/2", 20, like=True).select("key", "upload_id", "is_truncated")
 
 
 # ---- chunks: CH1-CH7, JN10, AG7, FN1, FN4, FN6, FN21 ------------------------------------------------------------------------
@@ -231,6 +234,62 @@ def cdc_chunks(spark, sf):
     return chunking.addressed(chunking.content_defined(views.bodies(spark, sf), 512, 1024, 2048)).drop("data")
 
 
+@query("SELECT doc_id, strlen(text)::BIGINT AS size, md5(text) AS etag, true AS sizes_fit FROM documents WHERE strlen(text) > 0")
+def cdc_invariants(spark, sf):
+    """What any cut has to keep: chunks join to the body, all but the last have the least size, none has more than the most."""
+    made = chunking.content_defined(views.bodies(spark, sf), 512, 1024, 2048)
+    whole = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("c"))
+    size = lambda c: F.octet_length(c["data"])
+    fit = F.forall("c", lambda c: (size(c) <= 2048) & ((size(c) >= 512) | (c["pos"] == F.size("c") - 1)))
+    body = F.unhex(F.array_join(F.transform("c", lambda c: F.hex(c["data"])), ""))
+    return whole.select("doc_id", F.octet_length(body).cast("bigint").alias("size"), F.md5(body).alias("etag"), fit.alias("sizes_fit"))
+
+
+# ---- writes that log: DML2, DML3, DML5, API1, API2, API5, SNK3 ---------------------------------------------------------------
+def _site(spark, sf):
+    """A site into which all documents have been put."""
+    store = Store(spark)
+    made = site.Site(store, ParquetBlobs(spark, f"{store.root}/blobs"), Config(location_id=SITE, chunk_size=1024))
+    made.put(_keyed_bodies(spark, sf), NOW)
+    return made
+
+
+def _keyed_bodies(spark, sf):
+    key = F.concat(F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    return views.raw(spark, sf, "documents").select(F.col("source").alias("bucket"), key.alias("key"), F.encode("text", "UTF-8").alias("body"))
+
+
+_KEYED = "SELECT source AS bucket, lang || '/' || lpad(doc_id::VARCHAR, 8, '0') AS key, doc_id, text FROM documents"
+
+
+@query(_with("chunks", f"SELECT bucket, key, strlen(text)::BIGINT AS size, md5(text) AS etag, coalesce(m, sha256('')) AS manifest, {NOW}::BIGINT AS updated_at, false AS deleted FROM ({_KEYED}) LEFT JOIN (SELECT doc_id, sha256(string_agg(hash, '' ORDER BY pos)) AS m FROM chunks GROUP BY doc_id) USING (doc_id)"))
+def put_object(spark, sf):
+    rows = _site(spark, sf).store.read("objects")
+    return rows.select("bucket", "key", "size", "etag", F.sha2(F.array_join("blocks", ""), 256).alias("manifest"), "updated_at", "deleted")
+
+
+@query(_with("chunks", f"SELECT 'object_put' AS kind, bucket, key, NULL AS hash, strlen(text)::BIGINT AS size FROM ({_KEYED}) UNION ALL SELECT DISTINCT 'block_announce', NULL, NULL, hash, size FROM chunks"))
+def put_object_facts(spark, sf):
+    log = _site(spark, sf).store.read("fact_log").withColumn("f", scalar.decode_fact(F.col("payload")))
+    return log.select("kind", "f.data.bucket", "f.data.key", "f.data.hash", "f.data.size")
+
+
+@query(f"SELECT bucket, count(*) FILTER (WHERE NOT starts_with(key, 'en/'))::BIGINT AS live, count(*)::BIGINT AS keys, count(*) FILTER (WHERE starts_with(key, 'en/'))::BIGINT AS logged FROM ({_KEYED}) GROUP BY bucket")
+def delete_object(spark, sf):
+    made = _site(spark, sf)
+    made.delete(_keyed_bodies(spark, sf).where(F.col("key").startswith("en/")), NOW + 1)
+    log = made.store.read("fact_log").where("kind = 'object_delete'").withColumn("f", scalar.decode_fact(F.col("payload")))
+    logged = log.groupBy(F.col("f.data.bucket").alias("bucket")).agg(F.count("*").alias("logged"))
+    rows = made.store.read("objects").groupBy("bucket").agg(F.count_if(~F.col("deleted")).alias("live"), F.count("*").alias("keys"))
+    return rows.join(logged, "bucket", "left").select("bucket", "live", "keys", F.coalesce("logged", F.lit(0)).alias("logged"))
+
+
+@query(f"SELECT bucket, key, 'ok' AS status, md5(encode(text)[1001:2501]) AS etag FROM ({_KEYED}) WHERE strlen(text) > 1000 UNION ALL SELECT bucket, key, 'InvalidRange', NULL FROM ({_KEYED}) WHERE strlen(text) <= 1000")
+def get_object(spark, sf):
+    asked = _keyed_bodies(spark, sf).select("bucket", "key", F.lit(1000).alias("first"), F.lit(2500).alias("last"), F.lit(None).alias("suffix"))
+    return _site(spark, sf).get(asked).select("bucket", "key", "status", F.md5("data").alias("etag"))
+
+
 # ---- ranges: FN10, FN11, FN14, FN15, WIN2, JN2, JN11, API2, API15 ---------------------------------------------------------------
 def _range(spark, sf, first, last, suffix):
     sized = _chunks(spark, sf).select("doc_id", "pos", "hash", "size")
@@ -318,7 +377,7 @@ def gc_stale_pending(spark, sf):
     return gc.decide(*_gc(spark, sf), NOW, GRACE).where("action = 'drop_stale'").select("hash")
 
 
-@query(_with("locations held live blocks", "SELECT hash, size FROM blocks WHERE hash NOT IN (SELECT hash FROM held EXCEPT SELECT hash FROM live) OR hash IN (SELECT hash FROM locations WHERE location_id <> 'site-0')"))
+@query(_with("locations held live blocks", "SELECT hash, size FROM blocks WHERE hash NOT IN (SELECT hash FROM held EXCEPT SELECT hash FROM live) OR hash IN (SELECT hash FROM locations WHERE location_id <> 'site-1')"))
 def gc_sweep_blocks(spark, sf):
     local, alive, due = _gc(spark, sf)
     after = gc.sweep(gc.decide(local, alive, due, NOW, GRACE, True), views.locations(spark, sf), views.blocks(spark, sf), due, SITE)
@@ -330,7 +389,7 @@ def last_copy_blocks(spark, sf):
     return gc.copies(views.locations(spark, sf)).where("copies = 1")
 
 
-@query(_with("locations live", "SELECT hash, count(*)::BIGINT AS copies FROM locations WHERE location_id <> 'site-0' AND hash NOT IN (SELECT hash FROM live) GROUP BY hash"))
+@query(_with("locations live", "SELECT hash, count(*)::BIGINT AS copies FROM locations WHERE location_id <> 'site-1' AND hash NOT IN (SELECT hash FROM live) GROUP BY hash"))
 def stale_holders(spark, sf):
     alive = _gc(spark, sf)[1]
     return gc.copies(views.locations(spark, sf).where(F.col("location_id") != SITE).join(alive, "hash", "left_anti"))
@@ -342,7 +401,7 @@ def local_block_bytes(spark, sf):
     return usage.local_bytes(views.locations(spark, sf), views.blocks(spark, sf), SITE)
 
 
-@query(_with("objects held pending facts queue", "SELECT 'objects' AS metric, count(*)::BIGINT AS n FROM objects WHERE NOT deleted UNION ALL SELECT 'local_blocks', count(*) FROM held UNION ALL SELECT 'pending_deletions', count(*) FROM pending UNION ALL SELECT 'facts', count(*) FROM facts UNION ALL SELECT 'pending_pulls', count(*) FROM queue WHERE target = 'site-0'"))
+@query(_with("objects held pending facts queue", "SELECT 'objects' AS metric, count(*)::BIGINT AS n FROM objects WHERE NOT deleted UNION ALL SELECT 'local_blocks', count(*) FROM held UNION ALL SELECT 'pending_deletions', count(*) FROM pending UNION ALL SELECT 'facts', count(*) FROM facts UNION ALL SELECT 'pending_pulls', count(*) FROM queue WHERE target = 'site-1'"))
 def site_stats(spark, sf):
     local = views.locations(spark, sf).where(F.col("location_id") == SITE)
     return usage.counts(objects=lww.live(views.objects(spark, sf)), local_blocks=local, pending_deletions=views.pending(spark, sf), facts=views.facts(spark, sf), pending_pulls=views.queue(spark, sf).where(F.col("target") == SITE))
@@ -370,19 +429,22 @@ def size_parse(spark, sf):
 _WHEN = 800_000_000_000
 
 
-@query(_with("queue", f"SELECT target, hash, next_attempt_at, attempts FROM queue WHERE target = 'site-0' AND next_attempt_at <= {_WHEN} ORDER BY next_attempt_at, hash LIMIT 500"))
+@query(_with("queue", f"SELECT target, hash, next_attempt_at, attempts FROM queue WHERE target = 'site-1' AND next_attempt_at <= {_WHEN} ORDER BY next_attempt_at, hash LIMIT 500"))
 def replication_ready(spark, sf):
     return replication.ready(views.queue(spark, sf), SITE, _WHEN).select("target", "hash", "next_attempt_at", "attempts")
 
 
 def _wanted(spark, sf):
-    return views.raw(spark, sf, "part").select(F.lit(SITE).alias("target"), views.part_hash(F.col("p_partkey") + 5).alias("hash"))
+    """Every second line's block, and one beside it that nobody may hold."""
+    pair = F.explode(F.array(F.col("l_suppkey"), F.col("l_suppkey") + 1))
+    each = views.raw(spark, sf, "lineitem").select("l_partkey", pair.alias("s"))
+    return each.select(F.lit(SITE).alias("target"), views.block_hash(F.col("l_partkey"), F.col("s")).alias("hash")).distinct()
 
 
-@query(_with("locations", "SELECT q.hash, CASE WHEN h IS NULL OR list_contains(h, 'site-0') THEN 'drop' WHEN list_has_any(h, ['site-1', 'site-2', 'site-3']) THEN 'fetch' ELSE 'defer' END AS action, CASE WHEN h IS NULL OR list_contains(h, 'site-0') THEN '' ELSE array_to_string(list_sort(list_intersect(h, ['site-1', 'site-2', 'site-3'])), ',') END AS sources FROM (SELECT sha256((p_partkey + 5)::VARCHAR) AS hash FROM part) q LEFT JOIN (SELECT hash, list(location_id ORDER BY location_id) AS h FROM locations GROUP BY hash) USING (hash)"))
+@query(_with("locations", "SELECT q.hash, CASE WHEN h IS NULL OR list_contains(h, 'site-1') THEN 'drop' WHEN list_has_any(h, ['site-2', 'site-3', 'site-4']) THEN 'fetch' ELSE 'defer' END AS action, coalesce(list_has_any(h, ['site-2', 'site-3', 'site-4']), false) AS any_holder_live, CASE WHEN h IS NULL OR list_contains(h, 'site-1') THEN '' ELSE array_to_string(list_sort(list_intersect(h, ['site-2', 'site-3', 'site-4'])), ',') END AS sources FROM (SELECT DISTINCT sha256(l_partkey::VARCHAR || '-' || s::VARCHAR) AS hash FROM (SELECT l_partkey, unnest([l_suppkey, l_suppkey + 1]) AS s FROM lineitem)) q LEFT JOIN (SELECT hash, list(location_id ORDER BY location_id) AS h FROM locations GROUP BY hash) USING (hash)"))
 def replication_plan(spark, sf):
     planned = replication.plan(_wanted(spark, sf), views.locations(spark, sf), PEERS, SITE)
-    return planned.select("hash", "action", F.array_join("sources", ",").alias("sources"))
+    return planned.select("hash", "action", "any_holder_live", F.array_join("sources", ",").alias("sources"))
 
 
 @query(_with("queue", "SELECT attempts, least(60000 * pow(2, attempts), 21600000)::BIGINT AS backoff_ms, count(*)::BIGINT AS n FROM queue GROUP BY 1, 2"))
@@ -401,10 +463,10 @@ def queue_defer(spark, sf):
     return replication.defer(rows, rows.where("target = 'site-1'"), _WHEN).select("target", "hash", "next_attempt_at", "attempts")
 
 
-@query(_with("locations held", "SELECT DISTINCT hash FROM locations WHERE location_id = 'site-1' AND hash NOT IN (SELECT hash FROM held)"))
+@query(_with("locations held", "SELECT DISTINCT hash FROM locations WHERE location_id = 'site-2' AND hash NOT IN (SELECT hash FROM held)"))
 def queue_enqueue(spark, sf):
     spots = views.locations(spark, sf)
-    return replication.to_enqueue(spots.where("location_id = 'site-1'"), spots, SITE, NOW).select("hash")
+    return replication.to_enqueue(spots.where("location_id = 'site-2'"), spots, SITE, NOW).select("hash")
 
 
 @query(_with("locations", "SELECT hash, array_to_string(list(location_id ORDER BY location_id), ',') AS holders FROM locations GROUP BY hash"))
@@ -417,7 +479,7 @@ def under_replicated_blocks(spark, sf):
     return gc.copies(views.locations(spark, sf)).where("copies < 3")
 
 
-@query(_with("nodes facts", "SELECT location_id, coalesce(last_seq, 0)::BIGINT AS last_seq FROM nodes LEFT JOIN (SELECT origin, max(seq) AS last_seq FROM facts GROUP BY origin) ON location_id = origin WHERE location_id <> 'site-0'"))
+@query(_with("nodes facts", "SELECT location_id, api_url, coalesce(last_seq, 0)::BIGINT AS last_seq FROM nodes LEFT JOIN (SELECT origin, max(seq) AS last_seq FROM facts GROUP BY origin) ON location_id = origin WHERE location_id <> 'site-1'"))
 def peer_cursors(spark, sf):
     seen = views.facts(spark, sf).groupBy(F.col("origin").alias("peer")).agg(F.max("seq").alias("last_seq"))
     return replication.cursors(replication.peers(views.nodes(spark, sf), SITE), seen)
@@ -458,7 +520,8 @@ def events_lww_stream(spark, sf):
 
 
 # ---- policy: FLT11, FLT12, UD1, API20, API25, FN16, SRC13 --------------------------------------------------------------------------------------------
-_ACTIONS = ("s3:GetObject", "s3:PutObject", "s3:DeleteObject", "s3:ListBucket")
+_ACTIONS = ("s3:GetObject", "s3:HeadObject", "s3:PutObject", "s3:DeleteObject", "s3:ListBucket", "s3:ListAllMyBuckets", "s3:CreateBucket", "s3:DeleteBucket", "s3:AbortMultipartUpload", "s3:ListMultipartUploadParts", "s3:ListBucketMultipartUploads", "s3:PutBucketPolicy")
+_ASKED = f"(SELECT unnest({list(_ACTIONS)}) AS action)"
 
 
 def _asked(spark, sf):
@@ -466,7 +529,7 @@ def _asked(spark, sf):
     return c.withColumn("action", F.explode(F.array(*map(F.lit, _ACTIONS)))).withColumn("resource", scalar.arn(F.col("bucket"), F.lit("k")))
 
 
-@query("SELECT c_custkey, action, CASE WHEN action = 's3:DeleteObject' THEN false WHEN c_mktsegment = 'BUILDING' THEN true WHEN starts_with(action, 's3:Get') THEN c_nationkey % 3 = 1 ELSE false END AS allowed FROM customer, (SELECT unnest(['s3:GetObject', 's3:PutObject', 's3:DeleteObject', 's3:ListBucket']) AS action)")
+@query(f"SELECT c_custkey, action, CASE WHEN action = 's3:DeleteObject' THEN false WHEN c_mktsegment = 'BUILDING' THEN true WHEN starts_with(action, 's3:Get') THEN c_nationkey % 3 = 1 ELSE false END AS allowed FROM customer, {_ASKED}")
 def policy_eval(spark, sf):
     rule = lambda effect, action, resource: F.struct(F.lit(effect).alias("effect"), F.array(action).alias("actions"), F.array(resource).alias("resources"))
     action = F.when(F.col("c_mktsegment") == "BUILDING", "*").otherwise("s3:Get*")
@@ -475,7 +538,7 @@ def policy_eval(spark, sf):
     return _asked(spark, sf).select("c_custkey", "action", policy.allowed(own, F.col("action"), F.col("resource")).alias("allowed"))
 
 
-@query("SELECT c_custkey, action, c_mktsegment = 'BUILDING' OR action IN ('s3:GetObject', 's3:ListBucket') OR (c_mktsegment = 'MACHINERY' AND action IN ('s3:PutObject', 's3:DeleteObject')) AS allowed FROM customer, (SELECT unnest(['s3:GetObject', 's3:PutObject', 's3:DeleteObject', 's3:ListBucket']) AS action)")
+@query(f"SELECT c_custkey, action, c_mktsegment = 'BUILDING' OR action IN ('s3:GetObject', 's3:HeadObject', 's3:ListBucket', 's3:ListAllMyBuckets', 's3:ListMultipartUploadParts', 's3:ListBucketMultipartUploads') OR (c_mktsegment = 'MACHINERY' AND action <> 's3:PutBucketPolicy') AS allowed FROM customer, {_ASKED}")
 def policy_presets(spark, sf):
     own = F.when(F.col("c_mktsegment") == "BUILDING", policy.preset("admin")).when(F.col("c_mktsegment") == "MACHINERY", policy.preset("readwrite")).otherwise(policy.preset("readonly"))
     return _asked(spark, sf).select("c_custkey", "action", policy.allowed(own, F.col("action"), F.col("resource")).alias("allowed"))
@@ -487,10 +550,12 @@ def shard_distribution(spark, sf):
     return views.objects(spark, sf).groupBy(scalar.shard_id(F.col("key")).alias("shard_id")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, string_split(p, '=')[1] AS name, string_split(p, '=')[2] AS value FROM (SELECT page_id, unnest(string_split(split_part(split_part(url, '?', 2), '#', 1), '&')) AS p FROM pages WHERE contains(url, '?')) WHERE p <> ''")
+@query("SELECT page_id, url_decode(replace(replace(p[:instr(p, '=') - 1], '%zz', '%25zz'), '+', ' ')) AS name, url_decode(replace(replace(p[instr(p, '=') + 1:], '%zz', '%25zz'), '+', ' ')) AS value FROM (SELECT page_id, unnest(string_split(CASE WHEN contains(url, '?') THEN split_part(split_part(url, '?', 2), '#', 1) ELSE '' END || '&flag&&a+b=x%zz+%C3%A9=' || page_id::VARCHAR || '%26&empty=', '&')) AS p FROM pages) WHERE contains(p, '=')")
 def url_query(spark, sf):
-    p = views.raw(spark, sf, "pages").where(F.col("url").contains("?"))
-    text = F.split(F.split("url", "[?]", 2)[1], "#", 2)[0]
+    p = views.raw(spark, sf, "pages")
+    own = F.when(F.col("url").contains("?"), F.split(F.split("url", "[?]", 2)[1], "#", 2)[0]).otherwise("")
+    # pairs without a value, without a sign, and with malformed escapes, too
+    text = F.concat(own, F.lit("&flag&&a+b=x%zz+%C3%A9="), F.col("page_id").cast("string"), F.lit("%26&empty="))
     return p.select("page_id", F.explode(scalar.query_pairs(text)).alias("q")).select("page_id", F.col("q.key").alias("name"), "q.value")
 
 

@@ -39,33 +39,47 @@ def puts(spark: SparkSession, sf: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", micros(F.col("l_shipdate")).alias("ts"), "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("deleted"))
 
 
-def part_hash(key: Column) -> Column:
-    return digest(key.cast("string"))
+def block_hash(part: Column, supplier: Column) -> Column:
+    """A line item's block: its part and supplier."""
+    return digest(F.concat_ws("-", part.cast("string"), supplier.cast("string")))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return raw(spark, sf, "lineitem").withColumn("hash", block_hash(F.col("l_partkey"), F.col("l_suppkey")))
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return raw(spark, sf, "part").select(part_hash(F.col("p_partkey")).alias("hash"), F.col("p_size").cast("bigint").alias("size"))
+    return _lines(spark, sf).groupBy("hash").agg(F.max(F.col("l_quantity").cast("bigint")).alias("size"))
 
 
 def locations(spark: SparkSession, sf: str) -> DataFrame:
-    site = F.concat(F.lit("site-"), (F.col("l_suppkey") % 7).cast("string"))
-    return raw(spark, sf, "lineitem").where("l_orderkey % 8 = 0").select(part_hash(F.col("l_partkey")).alias("hash"), site.alias("location_id")).distinct()
+    site = F.concat(F.lit("site-"), F.col("l_linenumber").cast("string"))
+    return _lines(spark, sf).select("hash", site.alias("location_id")).distinct()
 
 
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects of few orders, so that some blocks are orphans: (bucket, key, blocks, deleted)."""
-    li = raw(spark, sf, "lineitem").where("l_orderkey % 40 = 0")
-    lists = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    made = li.groupBy("l_orderkey").agg(lists.alias("e"), F.max("l_returnflag").alias("flag"))
-    return made.select(F.lit("orders").alias("bucket"), F.col("l_orderkey").cast("string").alias("key"), F.transform("e", lambda x: part_hash(x["l_partkey"])).alias("blocks"), (F.col("flag") == "R").alias("deleted"))
+    """Every order as an object of its lines' blocks (bucket, key, blocks, deleted). An order with a returned line is
+    deleted, so blocks that only such orders have are orphans."""
+    lists = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "hash")))
+    made = _lines(spark, sf).groupBy("l_orderkey").agg(lists.alias("e"), F.max("l_returnflag").alias("flag"))
+    return made.select(F.lit("orders").alias("bucket"), F.col("l_orderkey").cast("string").alias("key"), F.transform("e", lambda x: x["hash"]).alias("blocks"), (F.col("flag") == "R").alias("deleted"))
 
 
 def staged_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return raw(spark, sf, "part").where("p_partkey % 50 = 1").select(F.array(part_hash(F.col("p_partkey"))).alias("blocks"))
+    """Parts of uploads in progress: the blocks of untaxed lines."""
+    return _lines(spark, sf).where("l_tax = 0").select(F.array("hash").alias("blocks"))
 
 
 def pending(spark: SparkSession, sf: str) -> DataFrame:
-    return raw(spark, sf, "part").where("p_partkey % 7 = 0").select(part_hash(F.col("p_partkey")).alias("hash"), (F.col("p_partkey") * 1000).cast("bigint").alias("not_before_ms"))
+    """Blocks marked for deletion: those of lines sold at full price, and their suppliers' next ones, which nobody holds."""
+    marked = raw(spark, sf, "lineitem").where("l_discount = 0")
+    supplier = F.explode(F.array(F.col("l_suppkey"), -F.col("l_suppkey")))
+    each = marked.select("l_partkey", supplier.alias("s"), (F.col("l_quantity").cast("bigint") * 40_000).alias("at"))
+    return each.groupBy(block_hash(F.col("l_partkey"), F.col("s")).alias("hash")).agg(F.min("at").alias("not_before_ms"))
+
+
+def part_hash(key: Column) -> Column:
+    return digest(key.cast("string"))
 
 
 def queue(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import decode_fact
+from ..functions.scalar import decode_fact, shard_id
 from ..operators import lww, replication
 from ..schemas import FACTS
 from ..sources.store import Store, shared_folder
@@ -34,7 +34,7 @@ def apply(store: Store, log: DataFrame, site: str, now_ms: int) -> DataFrame:
     facts, dead = decoded(log)
     gone = F.col("variant") == "ObjectDelete"
     changed = facts.where(F.col("variant").isin("ObjectPut", "ObjectDelete"))
-    objects = changed.select("bucket", "key", F.when(gone, F.array().cast("array<string>")).otherwise(F.col("blocks")).alias("blocks"), F.when(gone, 0).otherwise(F.col("size")).cast("bigint").alias("size"), F.when(gone, "").otherwise(F.col("etag")).alias("etag"), F.lit(None).cast("int").alias("shard_id"), F.col("ts").alias("updated_at"), gone.alias("deleted"))
+    objects = changed.select("bucket", "key", F.when(gone, F.array().cast("array<string>")).otherwise(F.col("blocks")).alias("blocks"), F.when(gone, 0).otherwise(F.col("size")).cast("bigint").alias("size"), F.when(gone, "").otherwise(F.col("etag")).alias("etag"), shard_id(F.col("key")).alias("shard_id"), F.col("ts").alias("updated_at"), gone.alias("deleted"))
     store.write("objects", lww.merge(store.read("objects"), objects, ["bucket", "key"], "updated_at"))
     told = facts.where("variant = 'BlockAnnounce'")
     spots = told.select("hash", "location_id", "fid", F.col("ts").alias("updated_at"))
@@ -46,19 +46,21 @@ def apply(store: Store, log: DataFrame, site: str, now_ms: int) -> DataFrame:
     return dead
 
 
-def pull(store: Store, log: DataFrame, peer: str, site: str, now_ms: int, limit: int = 500) -> int:
-    """ST2: pages after the peer's cursor until a short one; the cursor moves to the highest seq applied."""
+def pull(store: Store, log: DataFrame, peer: str, site: str, now_ms: int, limit: int | None = None) -> int:
+    """ST2: the facts after the peer's cursor, all in one merge, or in pages until a short one; the cursor moves to the
+    highest seq applied. Unreadable facts stop it before anything is merged."""
     while True:
         last = store.read("replication_cursors").where(F.col("peer") == peer).agg(F.max("last_seq")).first()[0] or 0
-        got = page(log, last, limit)
+        got = log.where(F.col("seq") > last) if limit is None else page(log, last, limit)
         top, n = got.agg(F.max("seq"), F.count("*")).first()
         if not n:
             return last
-        if not apply(store, got, site, now_ms).isEmpty():
+        if not decoded(got)[1].isEmpty():
             raise ValueError(f"unreadable facts of {peer} after {last}")
+        apply(store, got.where(F.col("seq") <= top), site, now_ms)
         seen = store.spark.createDataFrame([(peer, top)], "peer string, last_seq bigint")
         store.write("replication_cursors", lww.advance(store.read("replication_cursors"), seen))
-        if n < limit:
+        if limit is None or n < limit:
             return top
 
 
@@ -70,7 +72,7 @@ def stream(store: Store, path: str, site: str, now_ms: int, files_per_batch: int
 
 
 def latest_of_stream(spark: SparkSession, path: str, schema, view, keys: list[str], ts: str, order: str) -> DataFrame:
-    """Streams rows, shaped by view, into one last-write-wins snapshot and returns it."""
+    """Streams rows, shaped by view, into one last-write-wins snapshot and returns it; no rows give an empty one."""
     root, at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", {}
 
     def step(df: DataFrame, batch: int) -> None:
@@ -84,4 +86,4 @@ def latest_of_stream(spark: SparkSession, path: str, schema, view, keys: list[st
     source = spark.readStream.schema(schema).parquet(path)
     query = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(at["now"])
+    return spark.read.parquet(at["now"]) if at else view(spark.createDataFrame([], schema))

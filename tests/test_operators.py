@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratum.config import Config
 from stratum.functions import policy, scalar
 from stratum.operators import chunking, gc, listing, lww, multipart, ranges, replication, usage
+from stratum.operators.site import Site
 from stratum.sources.store import ParquetBlobs, Store
 from stratum.streaming import facts
 
@@ -160,8 +161,138 @@ def test_sizes_guard_and_bounds(spark):
 
 
 def test_config():
-    c = Config(location_id="x", chunking="cdc", page=7)
+    c = Config(location_id="x", chunking="cdc", page=7, max_usage="1.5Gi")
     assert Config.loads(c.dumps()) == c
+    for bad in ("", "10Xy", "abc", "1i"):
+        with pytest.raises(ValueError):
+            Config(min_free=bad)
+
+
+def test_presets_and_users(spark):
+    actions = ["GetObject", "HeadObject", "PutObject", "DeleteObject", "ListBucket", "ListAllMyBuckets", "CreateBucket", "DeleteBucket", "AbortMultipartUpload", "ListMultipartUploadParts", "ListBucketMultipartUploads", "PutBucketPolicy"]
+    can = lambda name: [a for a in actions if one(spark, policy.allowed(policy.preset(name), F.lit(f"s3:{a}"), F.lit("r")))]
+    assert can("admin") == actions and can("readwrite") == actions[:-1]
+    assert can("readonly") == [a for a in actions if a in ("GetObject", "HeadObject", "ListBucket", "ListAllMyBuckets", "ListMultipartUploadParts", "ListBucketMultipartUploads")]
+    users = spark.createDataFrame([("ak", "s")], "access_key string, secret_key string").withColumn("policy", policy.preset("readonly"))
+    asked = spark.createDataFrame([("ak", "s3:GetObject", "r"), ("ak", "s3:PutObject", "r"), ("no", "s3:GetObject", "r")], "access_key string, action string, resource string")
+    assert {(r["access_key"], r["action"]): r["allowed"] for r in policy.authorize(asked, users).collect()} == {("ak", "s3:GetObject"): True, ("ak", "s3:PutObject"): False, ("no", "s3:GetObject"): False}
+
+
+def test_query_pairs(spark):
+    got = one(spark, scalar.query_pairs(F.lit("a=1&&flag&b=x%zz+y&c+d=%C3%A9%2&e=f=g&=h&i=")))
+    assert [tuple(p) for p in got] == [("a", "1"), ("b", "x%zz y"), ("c d", "é%2"), ("e", "f=g"), ("", "h"), ("i", "")]
+
+
+def test_membership_and_summaries(spark):
+    nodes = spark.createDataFrame([("a", "http://a", 1), ("b", "http://old", 1)], "location_id string, api_url string, last_heartbeat bigint")
+    told = spark.createDataFrame([("a", "http://spoof"), ("b", "http://b"), ("c", "http://c")], "location_id string, api_url string")
+    got = {r["location_id"]: r["api_url"] for r in replication.record_peers(nodes, told, "a", 9).collect()}
+    assert got == {"a": "http://a", "b": "http://b", "c": "http://c"}
+    queue = spark.createDataFrame([("a", f"h{i}", 0, 10 + i, 0) for i in range(7)] + [("a", "fresh", 0, 1, 0), ("b", "h0", 0, 99, 0)], "target string, hash string, next_attempt_at bigint, attempts int, enqueued_at bigint")
+    assert replication.stuck_summary(queue, "a").first() == (7, [f"h{i} x{10 + i}" for i in range(5)])
+    assert replication.stuck_summary(queue, "c").first() == (0, [])
+    edges = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(7, 0)], "src int, dst int")
+    assert replication.known_from(edges).count() == 42
+    parts = spark.createDataFrame([("b", "u", i) for i in range(1, 6)], "bucket string, upload_id string, part_number int")
+    page = listing.parts(parts, "b", "u", 1, 2).orderBy("part_number").collect()
+    assert [(r["part_number"], r["is_truncated"]) for r in page] == [(2, True), (3, True)]
+    assert [r["is_truncated"] for r in listing.parts(parts, "b", "u", 3, 2).collect()] == [False, False]
+    many = objects(spark, [f"k{i}" for i in range(9)])
+    assert {(r["key_count"], r["is_truncated"]) for r in listing.page(many, "b", max_keys=4, start_after="k6").collect()} == {(2, False)}
+    assert [r["item"] for r in listing.page(many, "b", max_keys=1, after="k0", start_after="k6").collect()] == ["k1"]
+    assert [(r["key"], r["is_truncated"]) for r in listing.versions(many, "b", "k", "k5", 2).orderBy("key").collect()] == [("k6", True), ("k7", True)]
+
+
+def test_listing_all_pages_over_many_partitions(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("b"), (F.col("id") % 2).cast("string")).alias("bucket"), F.lpad(F.col("id").cast("string"), 6, "0").alias("key"), F.lit(1).alias("size"), F.lit("e").alias("etag"), F.col("id").alias("updated_at"), F.lit(False).alias("deleted"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = listing.pages(keys, 7).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for _, own in got.sort_values("item").groupby("bucket"):
+        assert own["page"].tolist() == [i // 7 for i in range(10_000)]
+
+
+def make_site(spark, path, name="site-a", **more):
+    store = Store(spark, f"file://{path}/{name}")
+    return Site(store, ParquetBlobs(spark, f"{store.root}/blobs"), Config(location_id=name, chunk_size=10, **more))
+
+
+def body_rows(spark, **bodies):
+    return spark.createDataFrame([("b", k, v) for k, v in bodies.items()], "bucket string, key string, body binary")
+
+
+def test_site_put_get_delete(spark, tmp_path):
+    a, b = make_site(spark, tmp_path), make_site(spark, tmp_path, "site-b")
+    a.put(body_rows(spark, big=b"A" * 25, empty=b"", one=b"a", mixed=b"0123456789" * 3), 10)
+    rows = {r["key"]: r for r in a.store.read("objects").collect()}
+    assert [(len(rows[k]["blocks"]), rows[k]["size"]) for k in ("big", "empty", "one", "mixed")] == [(3, 25), (0, 0), (1, 1), (3, 30)]
+    assert rows["big"]["etag"] == "1995da96cd16a48cebcbc08424f6f945" and all(0 <= r["shard_id"] < 64 for r in rows.values())
+    # equal blocks are held and announced once
+    assert a.store.read("blocks").count() == 4 and a.store.read("fact_log").where("kind = 'block_announce'").count() == 4
+    asked = spark.createDataFrame([("b", "mixed", 5, 14, None), ("b", "mixed", None, None, 3), ("b", "mixed", 30, None, None), ("b", "big", None, None, None), ("b", "empty", None, None, None), ("b", "nope", None, None, None)], "bucket string, key string, first bigint, last bigint, suffix bigint")
+    got = {(r["key"], r["first"], r["suffix"]): (r["status"], r["data"] and bytes(r["data"])) for r in a.get(asked).collect()}
+    assert got[("mixed", 5, None)] == ("ok", b"5678901234") and got[("mixed", None, 3)] == ("ok", b"789") and got[("big", None, None)] == ("ok", b"A" * 25)
+    assert got[("mixed", 30, None)][0] == "InvalidRange" and got[("nope", None, None)][0] == "NoSuchKey" and got[("empty", None, None)][0] == "ok"
+    # a peer that replays the log has the objects and queues the blocks once
+    for _ in range(2):
+        facts.pull(b.store, a.store.read("fact_log"), "site-a", "site-b", 1000)
+    assert b.store.read("replication_queue").count() == 4 and lww.live(b.store.read("objects")).count() == 4
+    whole = asked.where("key = 'big'")
+    assert b.get(whole).first()["status"] == "Unavailable"
+    # read repair: blocks of a reachable holder are promoted and announced
+    wanted = b.store.read("replication_queue").select("hash").union(spark.createDataFrame([("nowhere",)], "hash string"))
+    assert {r["status"] for r in b.repair(wanted, {}, 20).collect()} == {"unavailable: holders down", "unknown"}
+    assert {r["status"] for r in b.repair(wanted, {"site-a": a.blobs}, 20).collect()} == {"promoted", "unknown"}
+    assert {r["status"] for r in b.repair(wanted, {}, 20).collect()} == {"local", "unknown"}
+    assert bytes(b.get(whole).first()["data"]) == b"A" * 25 and b.store.read("fact_log").count() == 4
+    a.delete(body_rows(spark, big=b"", gone=b""), 30)
+    facts.pull(b.store, a.store.read("fact_log"), "site-a", "site-b", 1000)
+    for site in (a, b):
+        assert {r["key"] for r in lww.live(site.store.read("objects")).collect()} == {"empty", "one", "mixed"}
+        assert site.store.read("objects").where("deleted and shard_id is null").count() == 0
+    # an older put that comes late doesn't bring the key back
+    a.put(body_rows(spark, big=b"late"), 29)
+    assert "big" not in {r["key"] for r in lww.live(a.store.read("objects")).collect()}
+
+
+def test_site_multipart_and_sweep(spark, tmp_path):
+    a = make_site(spark, tmp_path)
+    a.put(body_rows(spark, src=b"0123456789" * 4), 1)
+    u = a.create_uploads(spark.createDataFrame([("b", "k")], "bucket string, key string")).first()["upload_id"]
+    part = "bucket string, upload_id string, part_number int, body binary"
+    done = a.upload_parts(spark.createDataFrame([("b", u, 2, b"second"), ("b", u, 1, b"first-first-first"), ("b", "no", 1, b"x")], part), 2)
+    assert sorted(r["status"] for r in done.collect()) == ["NoSuchUpload", "ok", "ok"]
+    a.upload_parts(spark.createDataFrame([("b", u, 2, b"again")], part), 3)
+    copy = spark.createDataFrame([("b", u, 3, "b", "src", 8, 21), ("b", u, 4, "b", "none", None, None)], "bucket string, upload_id string, part_number int, source_bucket string, source_key string, first bigint, last bigint")
+    assert {r["part_number"]: r["status"] for r in a.copy_parts(copy, 4).collect()} == {3: "ok", 4: "NoSuchKey"}
+    ask = lambda key: spark.createDataFrame([("b", u, key)], "bucket string, upload_id string, key string")
+    assert a.complete_uploads(ask("different"), 5).first()["status"] == "InvalidRequest" and a.store.read("parts").count() == 3
+    assert a.complete_uploads(ask("k"), 6).first()["status"] == "ok"
+    whole = spark.createDataFrame([("b", "k", None, None, None)], "bucket string, key string, first bigint, last bigint, suffix bigint")
+    got = a.get(whole).first()
+    assert bytes(got["data"]) == b"first-first-first" + b"again" + b"89012345678901"[:14] and got["etag"].endswith("-5")
+    assert a.store.read("parts").count() == a.store.read("multipart_uploads").count() == 0
+    # the guard is tripped: the sweep takes what no live object names
+    alive = gc.live_set(a.store.read("objects"), a.store.read("parts"))
+    after = replication.drain(a.store.read("replication_queue"), a.store.read("block_locations"), [], "site-a", 7, True, held=(alive, a.store.read("blocks"), a.store.read("pending_deletions")))
+    assert after["plan"].count() == 0 and after["blocks"].count() == alive.count() < a.store.read("blocks").count()
+    gone = a.store.read("blocks").join(after["blocks"], "hash", "left_anti")
+    a.blobs.delete(gone)
+    assert a.blobs.get(a.store.read("blocks")).count() == alive.count() and bytes(a.get(whole).first()["data"]) == bytes(got["data"])
+    a.store.write("blocks", after["blocks"])
+    n = a.store.read("blocks").count()
+    a.store.vacuum()
+    assert a.store.read("blocks").count() == n
+    a.add_locations(spark.createDataFrame([("new", "site-z", "f")], "hash string, location_id string, fid string"), 8)
+    assert a.store.read("blocks").where("hash = 'new'").first()["size"] == 0
+
+
+def test_empty_stream(spark, tmp_path):
+    spark.createDataFrame([], "k string, ts bigint").write.parquet(f"{tmp_path}/none")
+    got = facts.latest_of_stream(spark, f"{tmp_path}/none", spark.read.schema("k string, ts bigint").parquet(f"{tmp_path}/none").schema, lambda df: df.withColumn("n", F.lit(1)), ["k"], "ts", "ts")
+    assert got.count() == 0 and got.columns == ["k", "ts", "n"]
 
 
 def fact(seq, ts, kind, **data):
