@@ -1,17 +1,19 @@
 """Packing documents into training sequences by cutting-stock column generation.
 
-1. Every text is tokenised once, where it lies; a document's ids are those of the tokenizers library and a closing id.
-   What is kept are lengths and one CRC for each unit of 64 ids, so any cut at a unit gets its CRC by combination.
+1. Every text is tokenised once, where it lies; a document's ids are those of the tokenizers library (the vocabulary's own
+   markers in a text get their ids, as its default call has it) and a closing id. What is kept are lengths and one CRC for each unit of 64 ids, so any cut at a unit gets its CRC by combination.
 2. A document is full sequences of 4096 ids, one piece of 1 to 63 units, and a tail of 1 to 63 ids. The histograms of
    the two kinds of remainder (63 classes each, whatever the corpus) go to the driver.
 3. A linear program over patterns is solved by column generation; a knapsack by dynamic programming prices patterns.
    For units the program may also cut an item of one class into two smaller ones at a small cost.
 4. Pattern counts are rounded down. Documents are ranked within their class (bucket counts, prefix sums and a rank in
-   each bucket), and a rank finds its sequence and place in the plan. What rounding leaves, a number bounded by the
+   each bucket; buckets have about the same number of rows, and there are as many as the rows need), and a rank finds its
+   sequence and place in the plan. What rounding leaves, a number bounded by the
    number of patterns, is laid end to end and cut at the sequence's end.
 
-Null texts count as empty: one id. Null ids, repeated rows and ties: each row is a document of its own, ranked by id
-then content. No rows: no pieces. Extra columns are ignored.
+Null texts count as empty: one id. Very long texts are tokenised whole. Null ids, repeated rows and ties: each row is a
+document of its own, ranked by id then content; rows are dealt into buckets by where they were read, so that no key is hot.
+No rows: no pieces. Extra columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -33,7 +35,7 @@ UNIT, UNITS = 64, 64
 LENGTH = UNIT * UNITS
 END_ID = 2
 CACHED_WORDS = 800_000
-BUCKETS, BUCKET_ROWS = 4096, 20_000
+LEAST_BUCKETS, BUCKET_ROWS = 8, 20_000
 CUT_COST = 1e-3
 
 
@@ -61,7 +63,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        marks = {t.content.encode(): struct.pack("<I", i) for i, t in self.exact.get_added_tokens_decoder().items()}
+        self.marks, self.mark = marks, re.compile(b"(" + b"|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + b")") if marks else None
         letters = self._letters()
         end, ranks = "</w>", {}
         for token, number in self.exact.get_vocab(with_added_tokens=False).items():
@@ -107,7 +110,11 @@ def words_of(path: str) -> WordIds:
 
 
 def token_bytes(text: str | None, path: str) -> bytes:
-    return b"".join(map(words_of(path).__getitem__, (text or "").encode().split())) + END_ID.to_bytes(4, "little")
+    words, data = words_of(path), (text or "").encode()
+    # the library takes its markers out of the text before all else; what lies between is split into words by itself
+    pieces = words.mark.split(data) if words.mark else [data]
+    out = [words.marks[p] if k % 2 else b"".join(map(words.__getitem__, p.split())) for k, p in enumerate(pieces)]
+    return b"".join(out) + END_ID.to_bytes(4, "little")
 
 
 # ---- CRC of joined blocks ------------------------------------------------------------------------------------------
@@ -312,8 +319,8 @@ class Plan:
 
 
 # ---- operator ------------------------------------------------------------------------------------------------------
-def token_lengths(docs: DataFrame, path: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n ids, CRC of each unit and of the tail, ranking bucket)."""
+def token_lengths(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, n ids, CRC of each unit and of the tail, spread): spread is a hash of the row's place in the table."""
 
     def run(batches):
         for b in batches:
@@ -322,11 +329,11 @@ def token_lengths(docs: DataFrame, path: str, buckets: int, id_col: str, text_co
                 ids = token_bytes(text, path)
                 n.append(len(ids) // 4)
                 crcs.append(np.array([zlib.crc32(ids[i : i + 4 * UNIT]) for i in range(0, len(ids), 4 * UNIT)], "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.binary())], names=[id_col, "n", "crcs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.binary())], names=["id", "n", "crcs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, crcs binary")
-    return out.withColumn("bucket", F.pmod(F.xxhash64(id_col, "n"), F.lit(buckets)).cast("int"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, crcs binary")
+    return out.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -334,25 +341,27 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     path = path or default_vocab()
     scratch = scratch or Scratch(spark, "packing")
-    made = scratch.put(token_lengths(docs, path, BUCKETS, id_col, text_col), "lengths")
-    rows = made.count()
-    width = BUCKETS // max(1, min(BUCKETS, rows // BUCKET_ROWS + 8))
-    made = made.withColumn("bucket", F.floor(F.col("bucket") / width).cast("int"))
+    made = scratch.put(token_lengths(docs, path, id_col, text_col), "lengths")
+    buckets = made.count() // BUCKET_ROWS + LEAST_BUCKETS
+    made = made.withColumn("bucket", F.pmod("spread", F.lit(buckets))).drop("spread")
     entry = lambda c, v: F.struct(F.expr(c).cast("int").alias("c"), F.expr(v).cast("long").alias("v"))
     entries = F.array(entry(f"n % {LENGTH} div {UNIT}", "1"), entry(f"n % {UNIT} + {UNITS}", "1"), entry(f"{2 * UNITS}", f"n div {LENGTH}"))
-    # at most 4096 buckets by 129 counts, whatever the corpus
-    counted = made.select("bucket", F.explode(entries).alias("e")).groupBy("bucket", "e.c").agg(F.sum("e.v").alias("v")).toPandas()
-    counts = np.zeros((BUCKETS + 1, 2 * UNITS + 1), np.int64)
-    counts[counted["bucket"], counted["c"]] = counted["v"]
-    total, before = counts.sum(0), np.cumsum(counts, 0) - counts
+    counted = scratch.put(made.select("bucket", F.explode(entries).alias("e")).groupBy("bucket", "e.c").agg(F.sum("e.v").alias("v")), "counts")
+    # 129 numbers, whatever the corpus
+    total = np.zeros(2 * UNITS + 1, np.int64)
+    for c, v in counted.groupBy("c").agg(F.sum("v")).collect():
+        total[c] = v
     units, tails = total[:UNITS].copy(), total[UNITS : 2 * UNITS].copy()
     units[0] = tails[0] = 0
     plan = Plan(int(total[-1]), units, tails)
-    before = {int(b): before[b] for b in np.unique(counted["bucket"])}
-
-    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id_col, "n", "crcs"], kind="stable", ignore_index=True)
-        n, base = pdf["n"].to_numpy(), before[int(key[0])]
+    # how many of a class the buckets before hold: a row a bucket, in a window a class
+    earlier = Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("bucket", "c", F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("v"))
+
+    def place(pdf: pd.DataFrame, bases: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "n", "crcs"], kind="stable", ignore_index=True)
+        n, base = pdf["n"].to_numpy(), np.zeros(2 * UNITS + 1, np.int64)
+        base[bases["c"]] = bases["v"]
         full, units, tail = n // LENGTH, n % LENGTH // UNIT, n % UNIT
         blocks = [np.frombuffer(x, "<u4") for x in pdf["crcs"]]
         first = np.concatenate([[0], np.cumsum([len(x) for x in blocks])])
@@ -374,7 +383,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         tseq, toff = plan.place_tails(tail[some], rank(tail + UNITS)[some])
         at = np.concatenate([d, t])
         return pd.DataFrame({
-            id_col: pdf[id_col].take(at).array,
+            id_col: pdf["id"].take(at).array,
             "start": np.concatenate([st * UNIT, n[some] - tail[some]]),
             "length": np.concatenate([ln * UNIT, tail[some]]),
             "ids_crc32": np.concatenate([crc, flat[first[t + 1] - 1]]).astype(np.int64),
@@ -384,7 +393,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         })
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return made.groupBy("bucket").applyInPandas(place, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return made.groupBy("bucket").cogroup(before.groupBy("bucket")).applyInPandas(place, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,8 +271,8 @@ def test_secrets(spark, docs, odd):
 def test_secrets_with_slashes_and_examples(spark):
     """Three slashes or a word such as "example" in a random secret don't hide it; paths and alphabets are no secrets."""
     key, tail = "q8Zr3TnW7xLk2VbY9sGd", "4HfJ6mPc1QwEz5RtUvKa"
-    found = [f"{key}/x7/Yb2/{tail}", f"{key}/{tail}/{key}/{tail}/9Z", f"{key}{tail}example", f"{key}12345678{tail}", f"{key[:15]}sample{tail[:15]}", f"{key}xxxx{tail}"]
-    clean = ["/usr/local/lib/python3/site-packages/numpy", "home/user_1/Documents/reports/2024/07", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "123e4567-e89b-12d3-a456-426614174000", "my-example-password-2024"]
+    found = [f"{key}/x7/Yb2/{tail}", f"{key}/{tail}/{key}/{tail}/9Z", f"{key}{tail}example", f"{key}12345678{tail}", f"{key[:15]}sample{tail[:15]}", f"{key}xxxx{tail}", "qKzRvTnWbxLkpVcYsGdHfJmQ"]
+    clean = ["/usr/local/lib/python3/site-packages/numpy", "home/user_1/Documents/reports/2024/07", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "123e4567-e89b-12d3-a456-426614174000", "my-example-password-2024", "getUserAccountBalanceFromServer", "Donaudampfschifffahrtsgesellschaftskapitaen", "src/ModuleName/SomeOtherThing/MainWindow"]
     rows = spark.createDataFrame(list(enumerate(found + clean)), "doc_id bigint, text string")
     got = {r[0]: r[1] for r in secrets.scan(rows).selectExpr("doc_id", "exists(spans, s -> s.kind = 3)").collect()}
     assert [got[i] for i in range(len(got))] == [True] * len(found) + [False] * len(clean)
@@ -307,7 +307,6 @@ def test_packing(spark, odd, docs):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(packing.default_vocab())
-    exact.encode_special_tokens = True
     plain = [(d, t) for d, t in odd[0] if d in (1, 2, 3, 4, 5, 7, 9, 10)] + [(500 + d, t) for d, t in docs] + [(900, "It'S  ΑΣ İstanbul, naïve x\x1cy <|endoftext|> 42nd ét")]
     rows = packing.pack(frame(spark, plain)).toPandas()
     ids = {d: np.array(exact.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for d, t in plain}
