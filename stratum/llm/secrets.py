@@ -2,12 +2,14 @@
 
 Base kinds are patterns, matched leftmost and non-overlapping: the text between matches (split) and the matches
 themselves (extract) give every position by a running sum, in code points. The method adds spans: candidate strings
-(20 or more characters of the base64 alphabet, with a digit and a letter) get the Shannon entropy of each sliding window
-of 20 characters from incremental counts; a candidate whose best window passes the threshold of its character class
-(hex or base64) is a span, unless it is a path, a UUID or joined words as a whole or a base span overlaps it. Alphabets,
+(20 or more characters of the base64 alphabet, with a digit and a letter or with small letters before capital ones) get
+the Shannon entropy of each sliding window of 20 characters from incremental counts; a candidate whose best window passes
+the threshold of its character class (hex, letters without a digit, base64) is a span, unless it is a path, a UUID, joined
+words or words in camel case as a whole or a base span overlaps it. Alphabets,
 counting runs and words like "example" exempt the windows that touch or hold them, not the candidate.
 
-Null texts count as empty and have no spans. Null ids, repeated rows and extra columns: each row is scanned by itself.
+Null texts count as empty and have no spans; very long texts are scanned whole. Null ids, repeated rows, ties and extra
+columns: each row is scanned by itself. An empty table gives an empty one.
 Cost follows the text's length; the work on a span is done only for rows in which its pattern occurs.
 """
 from __future__ import annotations
@@ -17,22 +19,22 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, table, unused
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "entropy")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])|(?=[A-Za-z+/_=-]*[a-z][A-Z]))[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Bits a character that the best window must reach, by class.
-THRESHOLDS = {"hex": 3.0, "base64": 3.75}
-#: A path's segment: words of one case (or with a capital) and short numbers.
-_WORD = "(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})"
+THRESHOLDS = {"hex": 3.0, "letters": 3.8, "base64": 3.75}
+#: A path's segment: words of one case (or with a capital, or in camel case) and short numbers.
+_WORD = "(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+|[0-9]{1,4})"
 _SEGMENT = f"{_WORD}(?:[-_]{_WORD})*[0-9]{{0,4}}"
 #: Whole candidates that are no secrets: UUIDs, paths of three slashes or more, words joined by signs.
-ALLOW = rf"^(?i:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})$|^(?=(?:[^/]*/){{3}})/?{_SEGMENT}(?:/{_SEGMENT})*/?$|^(?i:[a-z]+([-_/=+][a-z]+)*[-_/=+]?[0-9]{{0,4}})$"
+ALLOW = rf"^(?i:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})$|^(?=(?:[^/]*/){{3}})/?{_SEGMENT}(?:/{_SEGMENT})*/?$|^{_WORD}(?:[-_/=+]{_WORD})*[-_/=+]?[0-9]{{0,4}}$"
 #: Runs that no window may touch (alphabets and counting, as far as they go), and words that no window may hold whole.
 _LONGER = lambda run, rest: run + "".join(f"(?:{c}" for c in rest) + ")?" * len(rest)
 RUNS = "(?i)" + "|".join([_LONGER("abcdefgh", "ijklmnopqrstuvwxyz"), _LONGER("01234567", "89"), _LONGER("12345678", "90"), "xxxx+"])
@@ -83,7 +85,7 @@ def best_entropy(word: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    limit = lambda w: F.when(w.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).otherwise(F.lit(THRESHOLDS["base64"]))
+    limit = lambda w: F.when(w.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).when(~w.rlike("[0-9]"), F.lit(THRESHOLDS["letters"])).otherwise(F.lit(THRESHOLDS["base64"]))
     apart = lambda e: ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
     found = spans(text, CANDIDATE, size=WINDOW)
     fresh = F.filter(found, lambda e: ~e["body"].rlike(ALLOW) & apart(e))
@@ -126,7 +128,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "<secret>") -> D
         zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         return F.aggregate(found, zero, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
 
-    hidden = "__spans"
+    (hidden,) = unused(docs.columns, "spans")
     marked = scan(docs, text_col, hidden)
     return marked.withColumn(text_col, F.when(F.size(hidden) > 0, clean(F.col(text_col), F.col(hidden))).otherwise(F.col(text_col))).drop(hidden)
 
