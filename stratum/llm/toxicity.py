@@ -1,17 +1,21 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Inputs of a step are a word's own vector (telling and frequent words of the training sample) and the mean vector of its
-hashed runs of 4 and 6 bytes of characters, all of them (long words are several steps), so unknown spellings have an input, too. Two recurrent layers read a window of WINDOW words forward and
-backward; attention pools their states; a logistic layer scores the window. Windows start at every word, the last one
-ends with the text, and a document's score is that of its worst window.
-
-Documents carry the labels, windows don't: the first windows to learn from are those with words or parts of words that go with
-the label (log odds on the sample); then the network picks each toxic document's worst window and the clean ones' worst windows, and
-learns from those (windows to learn from start at every STRIDE-th word). A last step fits scale and offset of the documents' scores.
-
-The model is fitted on at most TRAIN_ROWS labelled documents outside the held-out fold, of at most LONGEST characters.
-Null and empty texts score 0. Without labels of both kinds every score is 0. Null ids fall in the fold of the empty text.
-Repeated rows, ties and extra columns: each row is scored by itself.
+hashed runs of 4 and 6 bytes of characters, all of them (long words are several steps), so unknown spellings have an input,
+too. Two recurrent layers read a window of WINDOW words forward and backward; attention pools their states; a logistic layer
+scores the window. Windows start at every STEP-th word, so that any passage of WINDOW - 1 words lies whole in one, the last
+one ends with the text, and a document's score is that of its worst window.
+
+Documents carry the labels, windows don't: the first windows to learn from are those with words or parts of words that
+surely go with the label (likelihood ratio on the sample, less what chance gives); then the network picks each toxic
+document's worst window and the clean ones' worst windows, and learns from those (windows to learn from start at every
+STRIDE-th word). A last step fits the scale of the documents' scores; the limit stands where FALSE of the sample's clean
+documents lie above it. Toxic documents can't place it: their own windows were learnt, so new ones score lower.
+
+The model is fitted on at most TRAIN_ROWS labelled documents outside the held-out fold; of one of more than LONGEST
+characters, on parts of it (labelled.sample). Every word of every text is scored. Null and empty texts score 0. Without
+labels of both kinds every score is 0. Null ids fall in the fold of the empty text. Repeated rows, ties and extra columns:
+each row is scored by itself. An empty table gives an empty one.
 """
 from __future__ import annotations
 
@@ -25,15 +29,16 @@ from pyspark.sql import functions as F
 from .common import crc_fold, table
 from .labelled import sample
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE, STEP = 24, 16, 2
 WORDS, WORD_DIM, GRAMS, GRAM_DIM, HIDDEN, ATTENTION = 4_000, 8, 16_384, 8, 8, 8
 SIZES = (4, 6)
 LONG_WORD = 64
+COMMON, CHANCE, FALSE = 20, 4.0, 0.003
 TRAIN_ROWS, LONGEST = 4_000, 200_000
-ROUNDS, EPOCHS, BATCH = 3, 3, 128
+ROUNDS, EPOCHS, MOST, ENOUGH, BATCH = 3, 3, 40, 0.3, 128
 MODULUS, HELD, LIMIT = 3, 1, 0.7
-CACHE, BLOCK, PIECE = 300_000, 1_024, 16_384
-_STRIP = b".,;:!?\"'()[]"
+CACHE, BLOCK, PIECE = 300_000, 2_048, 16_384
+_STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -72,7 +77,23 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def windows(n: int, stride: int = 1) -> np.ndarray:
+def _squash(x: np.ndarray) -> np.ndarray:
+    """Logistic function, in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    x *= 2
+    _squash(x)
+    x *= 2
+    x -= 1
+    return x
+
+
+def windows(n: int, stride: int = STEP) -> np.ndarray:
     """First words of the windows over n words; the last one ends with the text."""
     if not n:
         return np.zeros(0, np.int64)
@@ -121,14 +142,16 @@ def pool(m: dict, h: np.ndarray, mask: np.ndarray) -> tuple:
     return q, a, s, s @ m["c"] + m["d"]
 
 
-def learn(m: dict, ids: np.ndarray, bags: tuple[np.ndarray, np.ndarray], mask: np.ndarray, label: np.ndarray, rng, epochs: int, state: dict) -> None:
-    """ids: (windows, steps) rows of the sample's word list; bags: grams of those words; -1 stands for none."""
+def learn(m: dict, ids: np.ndarray, bags: tuple[np.ndarray, np.ndarray], mask: np.ndarray, label: np.ndarray, rng, state: dict) -> None:
+    """ids: (windows, steps) rows of the sample's word list; bags: grams of those words; -1 stands for none. EPOCHS passes,
+    and more, up to MOST, while the mean loss (chance: 0.69) isn't ENOUGH."""
     flat, size = bags
     first = np.cumsum(size) - size
     known = state["known"]
     weight = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
-    for _ in range(epochs):
-        order = rng.permutation(len(ids))
+    loss, epoch = 1.0, 0
+    while epoch < EPOCHS or (loss > ENOUGH and epoch < MOST):
+        order, loss, epoch = rng.permutation(len(ids)), 0.0, epoch + 1
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             seen, spot = np.unique(np.maximum(ids[pick], 0), return_inverse=True)
@@ -141,6 +164,7 @@ def learn(m: dict, ids: np.ndarray, bags: tuple[np.ndarray, np.ndarray], mask: n
             keeps: dict[str, list] = {"f": [], "b": []}
             h = np.concatenate([recur(x @ m[f"w{k}"] + m[f"p{k}"], m[f"u{k}"], on, k == "b", keeps[k]) for k in "fb"], axis=2)
             q, a, s, y = pool(m, h, on)
+            loss += float((np.logaddexp(0, np.where(label[pick] > 0, -y, y)) * weight[pick]).sum()) / len(ids)
             dy = ((_sigmoid(y) - label[pick]) * weight[pick] / len(pick)).astype(np.float32)
             ds = dy[:, None] * m["c"]
             da = (ds[:, None] * h).sum(2)
@@ -204,13 +228,13 @@ class Scorer:
             self.row.update(zip(fresh, range(at, at + len(fresh)), strict=True))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
-    def logits(self, texts: list[str], stride: int = 1) -> list[np.ndarray]:
+    def logits(self, texts: list[str], stride: int = STEP) -> list[np.ndarray]:
         """Each text's windows' logits. Pieces are scored before the cache is emptied, so no row number outlives it."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
-            for (i, _, _), y in zip(held, self._piece_logits([h[1:] for h in held]), strict=True):
+            for (i, _, _), y in zip(held, self._piece_logits([h[1:] for h in held], stride), strict=True):
                 out[i].append(y)
             held.clear()
 
@@ -229,27 +253,65 @@ class Scorer:
         flush()
         return [np.concatenate(y) if y else np.zeros(0) for y in out]
 
-    def _piece_logits(self, pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        """Logits of each piece's windows: (rows of its words, first words of its windows)."""
+    def _piece_logits(self, pieces: list[tuple[np.ndarray, np.ndarray]], stride: int) -> list[np.ndarray]:
+        """Logits of each piece's windows: (rows of its words, first words of its windows).
+
+        Full windows at multiples of the stride are read off all pieces laid end to end; those that texts' ends cut short
+        or shift, one a text at most, are gathered."""
         if not pieces:
             return []
-        m, base = self.m, np.cumsum([0, *(len(r) for r, _ in pieces)])
-        rows = np.concatenate([r for r, _ in pieces])
-        first = np.concatenate([s + b for (_, s), b in zip(pieces, base[:-1], strict=True)])
-        last = np.concatenate([np.full(len(s), e) for (_, s), e in zip(pieces, base[1:], strict=True)])
-        full = np.argsort(first + WINDOW > last, kind="stable")  # windows that texts' ends cut short come last
-        first, last = first[full], last[full]
-        y = np.zeros(len(first))
-        for a in range(0, len(first), BLOCK):
-            at = first[a : a + BLOCK, None] + np.arange(WINDOW)
-            mask = (at < last[a : a + BLOCK, None]).astype(np.float32)
-            x = self.parts[rows[np.minimum(at, len(rows) - 1)].T].transpose(1, 0, 2)  # a step's rows lie together
-            d, on = 3 * HIDDEN, None if mask.all() else mask
-            h = np.concatenate([recur(x[:, :, :d], m["uf"], on, False), recur(x[:, :, d:], m["ub"], on, True)], axis=2)
-            y[a : a + BLOCK] = pool(m, h, mask)[3]
-        back = np.empty_like(y)
-        back[full] = y
-        return np.split(back, np.cumsum([len(s) for _, s in pieces])[:-1])
+        out, odd, at = [np.zeros(len(places)) for _, places in pieces], [], []
+        full = [(places % stride == 0) & (places + WINDOW <= len(rows)) for rows, places in pieces]
+        size = [-(-len(rows) // stride) * stride for rows, _ in pieces]
+        base = np.cumsum([0, *size])
+        laid = np.zeros(base[-1] + WINDOW + stride, np.int64)
+        for (rows, _), b in zip(pieces, base, strict=False):
+            laid[b : b + len(rows)] = rows
+        y = self._slide(laid, int(base[-1]) // stride, stride) if any(f.any() for f in full) else np.zeros(0)
+        for k, ((rows, places), f) in enumerate(zip(pieces, full, strict=True)):
+            out[k][f] = y[(base[k] + places[f]) // stride]
+            for j in np.flatnonzero(~f):
+                odd.append(np.pad(rows[places[j] : places[j] + WINDOW], (0, max(0, places[j] + WINDOW - len(rows))), constant_values=-1))
+                at.append((k, j))
+        d = 3 * HIDDEN
+        for a in range(0, len(odd), BLOCK):
+            block = np.stack(odd[a : a + BLOCK])
+            mask, x = (block >= 0).astype(np.float32), self.parts[np.maximum(block, 0)]
+            h = np.concatenate([recur(x[:, :, :d], self.m["uf"], mask, False), recur(x[:, :, d:], self.m["ub"], mask, True)], axis=2)
+            for (k, j), v in zip(at[a : a + BLOCK], pool(self.m, h, mask)[3], strict=True):
+                out[k][j] = v
+        return out
+
+    def _slide(self, laid: np.ndarray, n: int, stride: int) -> np.ndarray:
+        """Logits of n windows, each `stride` words after the one before. Arrays are (features, windows), so a step's inputs
+        are slices; each word's phase modulo the stride has an array of its own."""
+        m, d, out = self.m, 3 * HIDDEN, np.empty(n)
+        u = {k: np.ascontiguousarray(m[f"u{k}"].T) for k in "fb"}
+        v = np.ascontiguousarray(m["v"].T)
+        for a in range(0, n, BLOCK):
+            w = min(BLOCK, n - a)
+            rows = laid[a * stride : (a + w) * stride + WINDOW]
+            phase = [np.ascontiguousarray(self.parts[rows[r::stride]].T) for r in range(stride)]
+            step = lambda t: phase[t % stride][:, t // stride : t // stride + w]  # noqa: B023, E731
+            states = {}
+            for k, own, order in (("b", slice(d, 2 * d), range(WINDOW - 1, -1, -1)), ("f", slice(0, d), range(WINDOW))):
+                h, kept = np.zeros((HIDDEN, w), np.float32), np.empty((WINDOW, HIDDEN, w), np.float32)
+                for t in order:
+                    x, g = step(t)[own], u[k] @ h
+                    zr = _squash(g[: 2 * HIDDEN] + x[: 2 * HIDDEN])
+                    c = zr[HIDDEN:] * g[2 * HIDDEN :]
+                    c = _tanh(c + x[2 * HIDDEN :])
+                    h = c + zr[:HIDDEN] * (h - c)
+                    kept[t] = h
+                states[k] = kept
+            top, low = np.zeros(w, np.float32), np.zeros(w, np.float32)
+            for t in range(WINDOW):
+                h = np.concatenate([states["f"][t], states["b"][t]])
+                e = np.exp(m["a"] @ _tanh(v @ h))  # bounded by the sum of |a|
+                top += e * (m["c"] @ h)
+                low += e
+            out[a : a + w] = top / low + m["d"]
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out, at = np.zeros(len(texts)), 0
@@ -266,6 +328,17 @@ class Scorer:
         return out
 
 
+def signal(hits: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How surely what hits[1] toxic and hits[0] clean documents hold goes with the label: the signed root of the likelihood
+    ratio, less what chance gives the best of many; 0 for all else."""
+    n = np.array([(label == 0).sum(), (label == 1).sum()], float)
+    share = n[1] / n.sum()
+    total = hits.sum(0)
+    part = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9)), 0)
+    g = np.sqrt(np.maximum(2 * (part(hits[1], total * share) + part(hits[0], total * (1 - share))), 0))
+    return np.sign(hits[1] - total * share) * np.clip((g - CHANCE) / 2, 0, 3)
+
+
 def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
     one: dict[bytes, bytes] = {}  # one copy of each word
@@ -273,32 +346,28 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
     seen: list[Counter] = [Counter(), Counter()]
     for words, y in zip(docs, label, strict=True):
         seen[int(y)].update(set(words))
-    n = [max(1, int((label == k).sum())) for k in (0, 1)]
-    rate = lambda w: np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1))
-    support = lambda w: rate(w) * np.sqrt(seen[1][w])
-    telling = [w for w, c in seen[1].items() if c >= 3]
-    vocabulary = sorted(telling, key=lambda w: (-support(w), w))[: WORDS // 2]
-    common = seen[0] + seen[1]
-    chosen = set(vocabulary)
-    vocabulary += [w for w, c in sorted(common.items(), key=lambda e: (-e[1], e[0])) if w not in chosen and c >= 5][: WORDS - len(vocabulary)]
-    index = {w: i for i, w in enumerate(vocabulary)}
-    names = sorted(common)
+    names = sorted(seen[0] + seen[1])
     row = {w: i for i, w in enumerate(names)}
-    bags = grams(names)
-    first = np.cumsum(bags[1]) - bags[1]
-    hits = [np.zeros(GRAMS), np.zeros(GRAMS)]
-    for words, y in zip(docs, label, strict=True):
-        rows = np.array(sorted({row[w] for w in words}), np.int64)
-        if len(rows):
-            hits[int(y)][np.unique(np.concatenate([bags[0][first[i] : first[i] + bags[1][i]] for i in rows]))] += 1
-    gram_rate = np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1))
-    gram_rate[hits[1] + hits[0] < 5] = 0
-    gram_worth = gram_rate * np.sqrt(hits[1])
-    m = start(rng, vocabulary, np.array([np.clip(rate(w), -2, 2) for w in vocabulary], np.float32), np.clip(gram_rate, -2, 4)) | {"vocabulary": vocabulary, "scale": 1.0, "offset": 0.0}
-    state = {"step": 0, "known": np.array([index.get(w, len(vocabulary)) for w in names])}
-    worth = np.maximum(np.array([support(w) for w in names]), np.maximum.reduceat(gram_worth[bags[0]], first))
     coded = [np.array([row[w] for w in words], np.int64) for words in docs]
     del docs, one
+    bags = grams(names)
+    first = np.cumsum(bags[1]) - bags[1]
+    hits = np.zeros((2, GRAMS))
+    for c, y in zip(coded, label, strict=True):
+        own = np.unique(c)
+        if len(own):
+            hits[int(y), np.unique(np.concatenate([bags[0][first[i] : first[i] + bags[1][i]] for i in own]))] += 1
+    word_sign = signal(np.array([[k[w] for w in names] for k in seen], float), label)
+    gram_sign = signal(hits, label)
+    common = np.array([seen[0][w] + seen[1][w] for w in names])
+    ranked = np.lexsort([np.arange(len(names)), -common, -np.abs(word_sign)])
+    ranked = ranked[(np.abs(word_sign[ranked]) > 0) | (common[ranked] >= COMMON)][:WORDS]
+    vocabulary = [names[i] for i in ranked]
+    known = np.full(len(names), len(vocabulary))
+    known[ranked] = np.arange(len(ranked))
+    m = start(rng, vocabulary, word_sign[ranked].astype(np.float32), gram_sign.astype(np.float32)) | {"vocabulary": vocabulary, "scale": 1.0, "offset": 0.0}
+    state = {"step": 0, "known": known}
+    worth = word_sign + np.maximum.reduceat(gram_sign[bags[0]], first)
     places = [windows(len(c), STRIDE) for c in coded]
     worst: list[np.ndarray] = [np.array([worth[c[s : s + WINDOW]].max() for s in p]) for c, p in zip(coded, places, strict=True)]
     for k_round in range(ROUNDS):
@@ -312,23 +381,18 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
                 ids.append(np.pad(w, (0, WINDOW - len(w)), constant_values=-1))
                 labels.append(y)
         block = np.stack(ids)
-        learn(m, block, bags, (block >= 0).astype(np.float32), np.array(labels, np.float32), rng, EPOCHS, state)
+        learn(m, block, bags, (block >= 0).astype(np.float32), np.array(labels, np.float32), rng, state)
         scorer = Scorer(m)
         worst = []
         for at in range(0, len(texts), 64):
-            worst += scorer.logits(texts[at : at + 64], STRIDE if k_round < ROUNDS - 1 else 1)
+            worst += scorer.logits(texts[at : at + 64], STRIDE if k_round < ROUNDS - 1 else STEP)
     top = np.array([v.max() if len(v) else -10.0 for v in worst])
     a, b = 1.0, 0.0
     for _ in range(300):  # scale and offset by gradient steps on the documents' best logits
         g = _sigmoid(a * top + b) - label
         w = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
         a, b = max(a - 0.05 * float((w * g * top).mean()), 0.2), b - 0.1 * float((w * g).mean())
-    # the score 0.7 stands where the two kinds are best told apart
-    order = np.argsort(top)
-    wrong = np.cumsum(label[order]) + (label == 0).sum() - np.cumsum(label[order] == 0)
-    low = np.flatnonzero(wrong == wrong.min())
-    k = int(low[len(low) // 2])
-    edge = (top[order[k]] + top[order[min(k + 1, len(order) - 1)]]) / 2
+    edge = np.quantile(top[label == 0], 1 - FALSE)
     m["scale"], m["offset"] = a, float(np.log(LIMIT / (1 - LIMIT)) - a * edge)
     return m
 
