@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import re
 import tempfile
 import uuid
@@ -89,6 +90,33 @@ def unused(columns: list[str], *stems: str) -> list[str]:
     return out
 
 
+#: A key is hot if more than one row in SHARE has it; there are fewer than SHARE such keys, whatever the data.
+SHARE, FEW = 1_000, 1_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """left join right on keys, where right has one row a key and n tells how many of left's total rows have it.
+
+    Hot keys' rows on the right are broadcast (fewer than SHARE of them), and left's rows stay where they are; all others
+    meet by hash. left is read once."""
+    rest = [c for c in right.columns if c not in (*keys, n)]
+    one = F.struct(F.lit(True).alias("met"), *rest)
+    named = [f"__k{i}" for i in range(len(keys))]
+    side = right.select(*[F.col(k).alias(name) for k, name in zip(keys, named, strict=True)], one.alias("__one"), n)
+    busy = side.where(F.col(n) > max(total // SHARE, FEW)).drop(n)
+    if busy.isEmpty():
+        return left.join(right.drop(n), keys)
+    on = lambda x, y: functools.reduce(Column.__and__, [x[k] == y[name] for k, name in zip(keys, named, strict=True)])
+    few = busy.withColumnRenamed("__one", "__few")
+    marked = left.join(F.broadcast(few), on(left, few), "left").drop(*named)
+    # rows with a hot key are dealt by a hash of their own, and find nothing there
+    deal = F.when(F.col("__few").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(SHARE)).cast("int"))
+    marked = marked.withColumn("__deal", deal)
+    met = marked.join(side.drop(n).withColumn("__none", F.lit(0)), on(marked, side) & (F.col("__deal") == F.col("__none")), "left")
+    found = met.withColumn("__one", F.coalesce("__few", "__one")).where(F.col("__one").isNotNull())
+    return found.select(*left.columns, *[F.col(f"__one.{c}").alias(c) for c in rest])
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, let, partitions, table, unused
+from .common import NULL_ID, SHARE, Scratch, join_counted, let, partitions, table, unused
 from .components import components
 
 SHINGLE, SIDE = 7, 4
@@ -40,7 +40,7 @@ PART, WHOLE = 4, 5
 STEP = 8
 AGREE = 9
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
-SHARE, SAMPLED = 1_000, 64
+SAMPLED = 64
 
 
 def constant(j: int, of: int) -> int:
@@ -84,24 +84,6 @@ def shingles(line: Column) -> Column:
     return let(raw, lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (2 * SHINGLE - 1), F.lit(2)), lambda i: F.xxhash64(F.substr(b, i, F.lit(2 * SHINGLE)))))
 
 
-def hot(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """The rows of those keys that hold more than one in SHARE of all: fewer than SHARE of them."""
-    return counted.where(F.col(n) > max(total // SHARE, 1_000))
-
-
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int, value: str) -> DataFrame:
-    """left join right (key, value, n), where n tells how many of the total rows a key has on the left."""
-    busy = hot(right, key, n, total).select(F.col(key).alias("__k"), F.col(value).alias("__busy"))
-    if busy.isEmpty():
-        return left.join(right.select(key, value), key)
-    # fewer than SHARE rows; rows with a busy key are dealt by a hash of their own and find nothing on the right
-    marked = left.join(F.broadcast(busy), left[key] == F.col("__k"), "left").drop("__k")
-    marked = marked.withColumn("__deal", F.when(F.col("__busy").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id", "th", "pos"), F.lit(SHARE)).cast("int")))
-    rest = right.select(F.col(key).alias("__k"), F.col(value).alias("__value"), F.lit(0).alias("__none"))
-    found = marked.join(rest, (marked[key] == rest["__k"]) & (marked["__deal"] == rest["__none"]), "left")
-    return found.withColumn(value, F.coalesce("__busy", "__value")).where(F.col(value).isNotNull()).select(*left.columns, value)
-
-
 def buckets(made: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, h1, p, n) of the buckets with two lines or more: each line's keys, and the bucket's pivot and size. A key's
     last four bits are its band."""
@@ -196,9 +178,9 @@ def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     roots = scratch.put(counted.where("n > 1 or node is not null").select("h1", "n", "root"), "roots")
     total = int(roots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     scratch.drop("signatures", "busy", "texts", "tried", "links", "blocks", "links-blocks")
-    of = scratch.put(join_counted(occurrences.select("h1", "id", "th", "pos"), roots, "h1", "n", total, "root").select("root", "id", "th", "pos"), "occurrences")
+    of = scratch.put(join_counted(occurrences.select("h1", "id", "th", "pos"), roots, ["h1"], total).select("root", "id", "th", "pos"), "occurrences")
     first = scratch.put(of.groupBy("root").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n")), "first")
-    gone = join_counted(of, first, "root", "n", total, "first").where(F.struct("id", "th", "pos") != F.col("first"))
+    gone = join_counted(of, first, ["root"], total).where(F.struct("id", "th", "pos") != F.col("first"))
     made = scratch.put(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("removed")), "gone")
     scratch.drop("roots", "occurrences", "first")
     return made

@@ -13,11 +13,12 @@ same one before. Words of windows that go are removed; windows are judged on the
 4. The windows that go are joined to their documents as ranges; overlapping ranges are maximal repeats.
 
 Groups only ever meet in combined minima and counts, never as a list, so a passage that a third of all documents share
-costs each of its copies one row. Windows whose anchors occur once never leave their task.
+costs each of its copies one row. Hot anchors, contexts and windows are joined where their rows lie (common.join_counted).
+Windows whose anchors occur once never leave their task.
 
 Null texts have no words. A null id comes before all others. Rows with equal id and text count as one document; rows with
 equal id and other text are ordered by the text's hash. Documents with fewer than SPAN words keep all. Extra columns are
-ignored. No rows: no result.
+ignored, whatever their names. Very long texts are read whole. No rows: no result.
 """
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, table
+from .common import NULL_ID, Scratch, join_counted, table
 
 SPAN, SEED = 20, 6
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -150,16 +151,16 @@ def repeats(own: DataFrame, scratch: Scratch) -> DataFrame:
     made = scratch.put(seed_runs(own), "runs")
     place = F.struct("id", "th", "start")
     # anchors that occur once are left out first; of the others, the first run of each context
-    often = made.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    met = scratch.put(made.join(often, "anchor"), "met")
-    scratch.drop("runs")
-    first = scratch.put(met.groupBy("anchor", "c0", "c1").agg(F.min(place).alias("first"), F.max("n").alias("n")), "first")
-    again = met.join(first.select("anchor", "c0", "c1", "first"), ["anchor", "c0", "c1"]).where(place != F.col("first")).select("id", "th", "start", "n")
-    several = first.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    asked = first.join(several, "anchor").select("first.*", "n").groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    often = scratch.put(made.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "often")
+    met = scratch.put(join_counted(made, often, ["anchor"], made.count(), "k"), "met")
+    scratch.drop("runs", "often")
+    first = scratch.put(met.groupBy("anchor", "c0", "c1").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count("*").alias("k")), "first")
+    again = join_counted(met, first.select("anchor", "c0", "c1", "first", "k"), ["anchor", "c0", "c1"], met.count(), "k").where(place != F.col("first")).select("id", "th", "start", "n")
+    several = scratch.put(first.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    asked = join_counted(first.select("anchor", "first", "n"), several, ["anchor"], first.count(), "k").select("first.*", "n").groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     windows = scratch.put(windows_of(own.join(asked, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "ranges")), "windows")
-    least = windows.groupBy("w0", "w1").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").select("w0", "w1", "first")
-    later = windows.join(least, ["w0", "w1"]).where(place != F.col("first")).select("id", "th", "start", F.lit(1).alias("n"))
+    least = scratch.put(windows.groupBy("w0", "w1").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1"), "least")
+    later = join_counted(windows, least, ["w0", "w1"], windows.count(), "k").where(place != F.col("first")).select("id", "th", "start", F.lit(1).alias("n"))
     return again.union(later).groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
 
 
@@ -167,6 +168,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_words, n_removed, kept_sha256) per row; the kept words joined by one space are hashed where they are."""
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     gone = scratch.put(repeats(_keys(docs, id_col, text_col), scratch), "gone")
+    scratch.drop("met", "first", "several", "windows", "least")
     marked = docs.select(F.col(id_col).alias("__own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     joined = marked.join(gone, ["id", "th"], "left").select("__own", "text", "gone")
 
