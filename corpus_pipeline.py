@@ -2,7 +2,10 @@
 
 run() with STAGES: quality classifier (rejected documents go), line dedup (later copies of a line go from the text), SimHash
 near-dedup (of each component the smallest id stays; of rows that share it, one), secret scans (spans are masked), packing
-(pieces of sequences). All but the last return the columns of their input; n_chars follows the text.
+(pieces of sequences). All but the last return the columns of their input, whatever their names; n_chars follows the text.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows and empty tables; what each makes of them is
+said there and in its operator. A null text counts as empty and stays null until it is packed. An empty table gives one.
 """
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import line_dedup, packing, quality_mil, secrets, simhash
-from stratum.llm.common import Scratch, table
+from stratum.llm.common import Scratch, table, unused
 
 #: Training, union-find and packing plans aren't SQL: tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -24,12 +27,14 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts, as they are. It learns from labels of its own input's documents."""
+    """The documents that the classifier accepts, as they are. It learns from labels of its own input's documents; without
+    labels of both kinds all stay. Each row is judged by itself, so repeated rows stay or go together."""
     return quality_mil.keep(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document or place has; a text may end up empty."""
+    """All documents, without lines that an earlier document or place has; a text may end up empty. Repeated rows get the
+    same text."""
     return _sized(line_dedup.dedup_lines(docs, counts=None), docs.columns)
 
 
@@ -38,20 +43,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one document; rows without an id stay if a component has no other."""
     # a row is named by id and text, so that ids that repeat or are missing don't stand for rows of other components
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("th"))
-    named = docs.withColumn("__key", key)
-    found = simhash.near_duplicates(named, "__key")
-    stays = found.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
-    joined = named.join(stays, "__key", "left_semi")
+    (name,) = unused(docs.columns, "key")
+    named = docs.withColumn(name, key)
+    found = simhash.near_duplicates(named, name)
+    stays = found.where(F.col(name) == F.col("component_id")).select(name).distinct()
+    joined = named.join(stays, name, "left_semi")
     return joined.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in the text."""
+    """All documents, with secrets masked in the text, whatever its length; each row by itself."""
     return _sized(secrets.redact(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
+    """Pieces of sequences: every row is a document, an empty or null text has one id."""
     return packing.pack(docs)
 
 
