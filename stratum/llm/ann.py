@@ -3,18 +3,19 @@
 A vector's direction is a sum of one codeword from each of several codebooks, all of full dimension: residual k-means
 trains them on a bounded sample (TRAIN_ROWS), beam search encodes every row. The norm is stored beside the codes. A query
 has a table of its inner products with all codewords, so a row's approximate score is a sum of look-ups times its norm.
-Queries and rows meet in blocks: rows are dealt into shards and queries into blocks of fixed size, and each pair of a
-block and a shard is one task's work. The shard's best POOL rows by look-up (all that tie with the last) are scored
-exactly, the best k leave the task, and a ranking per query takes the best of all shards.
+Rows are dealt into shards of bounded size, each row into one, by their place in the index (so that repeated rows don't
+meet in one); every shard gets a copy of the queries, which follow its rows in a sorted partition and stream past them. The
+shard's best rows by look-up (POOL or one in POOL_SHARE, and all that tie with the last) are scored exactly, the best k leave the task, and a ranking
+per query takes the best of all shards. So an index row moves once, whatever the number of queries.
 
 Scores are inner products in double precision of the original components, summed in their order. Vectors that are null,
 zero, of another length than most, or that hold null or non-finite components take no part, nor do null ids. Repeated ids
-are rows of their own; ties go to the smaller id. Empty tables give empty results; extra columns are ignored.
+are rows of their own; ties go to the smaller id. Empty tables give empty results; extra columns are ignored, whatever
+their names.
 """
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from .common import Scratch, table
 
 BOOKS, WORDS, ROUNDS, BEAM = 16, 256, 5, 4
 TRAIN_ROWS = 16_384
-SHARD_ROWS, QUERY_ROWS = 8_192, 1_024
-POOL, NEAREST = 256, 20
+SHARD_ROWS, LEAST_ROWS = 131_072, 4_096
+POOL, POOL_SHARE, NEAREST = 256, 32, 20
 
 
 def train(x: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -79,35 +80,63 @@ def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray, k: int, pool: int):
-    """Best k of one shard for each query of one block."""
-    order = np.argsort(vid, kind="stable")
-    vid, v, codes, norm = vid[order], v[order], codes[order], norm[order]
-    out = []
-    for i in range(len(qid)):
-        look = (books @ q[i].astype(np.float32)).astype(np.float32)
-        score = look[0][codes[:, 0]]
+class Shard:
+    """Rows of one shard, in order of their ids."""
+
+    def __init__(self, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray):
+        order = np.argsort(vid, kind="stable")
+        self.vid, self.v, self.codes, self.norm, self.books = vid[order], v[order].astype(np.float64), np.ascontiguousarray(codes[order].T), norm[order], books
+
+    def best(self, qid: int, q: np.ndarray, k: int, pool: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, exact scores) of the k best."""
+        look = (self.books @ q.astype(np.float32)).astype(np.float32)
+        score = look[0][self.codes[0]]
         for m in range(1, len(look)):
-            score += look[m][codes[:, m]]
-        score *= norm
-        score[vid == qid[i]] = -np.inf
+            score += look[m][self.codes[m]]
+        score *= self.norm
+        score[self.vid == qid] = -np.inf
+        near, pool = np.arange(len(score)), max(pool, len(score) // POOL_SHARE)
         if len(score) > pool:
-            cut = np.partition(score, len(score) - pool)[len(score) - pool]
-            near = np.flatnonzero(score >= cut)
-        else:
-            near = np.arange(len(score))
+            near = np.flatnonzero(score >= np.partition(score, len(score) - pool)[len(score) - pool])
         near = near[score[near] > -np.inf]
-        true = exact(v[near], q[i])
-        best = np.lexsort([vid[near], -true])[:k]
-        out.append((np.full(len(best), qid[i]), vid[near[best]], true[best]))
-    a, b, c = (np.concatenate(x) if out else np.zeros(0) for x in (zip(*out, strict=True) if out else ([], [], [])))
-    return pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": c.astype(np.float64)})
+        true = exact(self.v[near], q)
+        first = np.lexsort([self.vid[near], -true])[:k]
+        return self.vid[near[first]], true[first]
+
+
+def search(batches, books: np.ndarray, kind: type, k: int, pool: int):
+    """Batches (shard, query, id, v, codes, norm), sorted by shard and by query: a shard's rows, then its queries."""
+    now, held, shard = None, [], None
+    dim = books.shape[2]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        tag, asks = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cut = [0, *(np.flatnonzero((tag[1:] != tag[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), b.num_rows]
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            part = b.slice(a, z - a)
+            if tag[a] != now:
+                now, held, shard = tag[a], [], None
+            ids = part.column(2).to_numpy()
+            v = np.frombuffer(b"".join(part.column(3).to_pylist()), kind).reshape(-1, dim)
+            if not asks[a]:
+                codes = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(-1, BOOKS)
+                held.append((ids, v, codes, part.column(5).to_numpy()))
+                continue
+            if shard is None and held:
+                shard, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)), books), []
+            if shard is None:
+                continue
+            out = [(i, *shard.best(i, q.astype(np.float64), k, pool)) for i, q in zip(ids.tolist(), v, strict=True)]
+            qid = np.repeat([i for i, _, _ in out], [len(x) for _, x, _ in out]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.concatenate([x for _, x, _ in out])), pa.array(np.concatenate([x for *_, x in out]))], names=["query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, query_every: int = 20, k: int = NEAREST, id_col: str = "vec_id", vec_col: str = "embedding", pool: int = POOL, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by query_every."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
+    kind = np.float32 if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
     rows = usable(vectors, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -128,24 +157,19 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = NEAREST, id_col:
             norm = np.sqrt((v**2).sum(1))
             unit = (v / norm[:, None]).astype(np.float32)
             codes = np.concatenate([encode(unit[i : i + 512], books) for i in range(0, len(unit), 512)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["id", "v", "codes", "norm"])
-
-    index = scratch.put(rows.mapInArrow(coded, "id long, v array<double>, codes binary, norm float"), "index")
-    shards = max(1, -(-total // SHARD_ROWS))
-    chosen = rows.where(F.pmod("id", F.lit(query_every)) == 0)
-    blocks = max(1, -(-chosen.count() // QUERY_ROWS))
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = chosen.select("id", "v", spread(blocks, 1).alias("block"), every(shards).alias("shard"))
-    right = index.select("id", "v", "codes", "norm", spread(shards, 2).alias("shard"), every(blocks).alias("block"))
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(-1, BOOKS)
-        return search_block(a["id"].to_numpy(), np.stack(a["v"].to_numpy()), b["id"].to_numpy(), np.stack(b["v"].to_numpy()), codes, b["norm"].to_numpy(), books, k, pool)
-
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(pair, "query_id long, vec_id long, score double")
+            raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())  # as exact as the column itself
+            yield pa.RecordBatch.from_arrays([b.column(0), raw, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["id", "v", "codes", "norm"])
+
+    index = rows.mapInArrow(coded, "id long, v binary, codes binary, norm float").withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+    index = scratch.put(index, "index")
+    # as many as the rows need; more, while they aren't small, to keep the cluster busy
+    shards = max(-(-total // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    none = [F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm")]
+    asked = index.where(F.pmod("id", F.lit(query_every)) == 0).select(every.alias("shard"), F.lit(1).alias("query"), "id", "v", *none)
+    held = index.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "id", "v", "codes", "norm")
+    dealt = held.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "query")
+    found = dealt.mapInArrow(lambda batches: search(batches, books, kind, k, pool), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
