@@ -47,7 +47,7 @@ def defer(queue: DataFrame, failed: DataFrame, now_ms: int) -> DataFrame:
     return rows.select("target", "hash", F.when(again, F.lit(now_ms) + backoff_ms(F.col("attempts"))).otherwise(F.col("next_attempt_at")).cast("bigint").alias("next_attempt_at"), (F.col("attempts") + again.cast("int")).cast("int").alias("attempts"), "enqueued_at")
 
 
-def drain(queue: DataFrame, locations: DataFrame, peers: list[str], site: str, now_ms: int, tripped: bool = False, page: int = 500, held: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+def drain(queue: DataFrame, locations: DataFrame, peers: list[str], site: str, now_ms: int, tripped: bool = False, page: int | None = 500, held: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """ST8: one step over the queue. With the guard tripped nothing is fetched and the queue stays; then held (live blocks,
     block rows, pending rows) is swept without grace, and the tables after that are given, too (GC8)."""
     if tripped:

@@ -1,4 +1,4 @@
-"""A site's calls in bulk (DML2-DML7, DML9, DML15, DML16, API1, API2, API5, API15-API19, API23, CH7, SNK3).
+"""A site's calls in bulk (DML2-DML7, DML9, DML15, DML16, API1, API2, API5, API12, API15-API19, API23, CH7, SNK3).
 
 Each call takes a frame of any number of requests, changes the site's snapshot tables and appends what it did to the fact
 log, so that a peer that replays the log comes to the same objects and places. Requests that can't be met come back with a
@@ -101,6 +101,13 @@ class Site:
         """API1: (bucket, key, body), a row a key."""
         self._commit(self._chunked(bodies, OBJECT, now_us), now_us)
 
+    def copy(self, asked: DataFrame, now_us: int) -> DataFrame:
+        """API12: (source_bucket, source_key, bucket, key) -> status; only the manifest is copied, with its tag."""
+        held = lww.live(self.store.read("objects")).select(F.col("bucket").alias("source_bucket"), F.col("key").alias("source_key"), "blocks", "size", "etag")
+        rows = self._stage(asked.join(held, ["source_bucket", "source_key"], "left"))
+        self._commit(rows.where("size is not null"), now_us)
+        return rows.select(*OBJECT, F.when(F.col("size").isNull(), "NoSuchKey").otherwise("ok").alias("status"))
+
     def delete(self, keys: DataFrame, now_us: int) -> None:
         """DML3, API5: a tombstone for each (bucket, key), whether it exists or not."""
         held, gone = self.store.read("objects"), self._stage(keys.select(*OBJECT).distinct())

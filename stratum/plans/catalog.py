@@ -581,3 +581,165 @@ def delete_batch(spark, sf):
     return after.groupBy("bucket").agg(F.count_if(~F.col("deleted")).alias("live"), F.count("*").alias("keys"))
 
 
+
+
+# ---- single steps: SRC10, AG11, AG12, JN2, JN14, FN15, FN18, FN22, DML4, DML8-DML11, DML13, DML15, ST2, ST3, ST8, GC8, API10, API12, API16-API20 ----
+@query(_with("locations", "SELECT hash, string_agg(location_id || '=' || location_id || '/' || hash, ',' ORDER BY location_id) AS fids FROM locations GROUP BY hash"))
+def fid_map(spark, sf):
+    spots = views.locations(spark, sf).withColumn("fid", F.concat_ws("/", "location_id", "hash"))
+    pairs = F.transform(F.map_entries("fids"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return replication.fids(spots).select("hash", F.array_join(pairs, ",").alias("fids"))
+
+
+@query(_with("locations", "SELECT hash, location_id || '/' || hash AS fid FROM locations WHERE location_id = 'site-1'"))
+def local_fids(spark, sf):
+    return replication.local_fid(views.locations(spark, sf).withColumn("fid", F.concat_ws("/", "location_id", "hash")), SITE)
+
+
+@query(_with("lines blocks", "SELECT l_orderkey::VARCHAR AS key, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l.hash) - 1)::INTEGER AS pos, CASE WHEN b.size > 25 THEN 0 ELSE b.size END AS size FROM lines l JOIN blocks b ON l.hash = b.hash"))
+def block_sizes(spark, sf):
+    """Sizes in the manifests' order; blocks of more than 25 aren't known here."""
+    known = views.blocks(spark, sf).where("size <= 25")
+    return ranges.sized_blocks(views.manifests(spark, sf), known, ["key"]).select("key", "pos", "size")
+
+
+@query("SELECT o_orderkey, CASE WHEN a <= b AND o_orderkey % 5 > 0 THEN a END AS first, CASE WHEN a <= b AND o_orderkey % 5 > 0 THEN b END AS last FROM (SELECT o_orderkey, o_custkey % 50 AS a, o_orderkey % 60 AS b FROM orders)")
+def copy_ranges(spark, sf):
+    """Every fifth text has no end, some are reversed."""
+    end = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise((F.col("o_orderkey") % 60).cast("string"))
+    text = F.concat(F.lit("bytes="), (F.col("o_custkey") % 50).cast("string"), F.lit("-"), end)
+    return views.raw(spark, sf, "orders").select("o_orderkey", scalar.copy_range(text).alias("r")).select("o_orderkey", "r.first", "r.last")
+
+
+@query(_with("objects", "SELECT bucket, greatest(min(updated_at) - 5000, 0)::BIGINT AS created FROM objects WHERE NOT deleted GROUP BY bucket"))
+def bucket_created(spark, sf):
+    return listing.buckets(views.objects(spark, sf)).select("bucket", F.unix_micros(scalar.created_at(F.col("created") - 5000)).alias("created"))
+
+
+@query(_with("objects", "SELECT 'ObjectPut' AS kind, bucket, key, size, etag, NULL::VARCHAR AS hash FROM objects"))
+def fact_roundtrip(spark, sf):
+    text = scalar.encode_fact(F.lit("ObjectPut"), F.struct("bucket", "key", "size", "etag"))
+    return views.objects(spark, sf).select(scalar.decode_fact(text).alias("f")).select("f.kind", "f.data.bucket", "f.data.key", "f.data.size", "f.data.etag", "f.data.hash")
+
+
+@query(_with("lines", "SELECT hash, 'site-' || l_linenumber::VARCHAR AS location_id, max(epoch_us(l_shipdate))::BIGINT AS updated_at FROM lines GROUP BY 1, 2"))
+def location_upsert(spark, sf):
+    rows = views.raw(spark, sf, "lineitem").select(views.block_hash(F.col("l_partkey"), F.col("l_suppkey")).alias("hash"), F.concat(F.lit("site-"), F.col("l_linenumber").cast("string")).alias("location_id"), views.micros(F.col("l_shipdate")).alias("updated_at"), "l_linestatus")
+    held, told = rows.where("l_linestatus = 'F'").drop("l_linestatus"), rows.where("l_linestatus <> 'F'").drop("l_linestatus")
+    return lww.merge(lww.merge(held.limit(0), held, ["hash", "location_id"], "updated_at"), told, ["hash", "location_id"], "updated_at")
+
+
+@query(_with("facts", "SELECT origin AS peer, max(seq) AS last_seq FROM facts GROUP BY 1"))
+def cursor_advance(spark, sf):
+    """Old news after new ones doesn't move a cursor back."""
+    at = lambda kind: views.facts(spark, sf).where(F.col("kind") == kind).groupBy(F.col("origin").alias("peer")).agg(F.max("seq").alias("last_seq"))
+    return lww.advance(lww.advance(at("object_put"), at("object_delete")), at("object_delete"))
+
+
+@query(_with("queue", "SELECT target, hash, CASE WHEN attempts < 6 THEN attempts ELSE 0 END::INTEGER AS attempts FROM queue"))
+def queue_insert(spark, sf):
+    rows = views.queue(spark, sf)
+    return lww.add_missing(rows.where("attempts < 6"), rows.withColumn("attempts", F.lit(0)), ["target", "hash"]).select("target", "hash", "attempts")
+
+
+@query(_with("queue", "SELECT target, hash, attempts FROM queue WHERE attempts < 10"))
+def queue_remove(spark, sf):
+    rows = views.queue(spark, sf)
+    return lww.remove(rows, replication.stuck(rows), ["target", "hash"]).select("target", "hash", "attempts")
+
+
+@query(_with("held live pending", f", orphans AS (SELECT hash FROM held EXCEPT SELECT hash FROM live) SELECT hash, {NOW + GRACE}::BIGINT AS not_before_ms FROM orphans UNION ALL SELECT hash, not_before_ms FROM pending WHERE hash NOT IN (SELECT hash FROM orphans) AND hash NOT IN (SELECT hash FROM live)"))
+def pending_update(spark, sf):
+    """Orphans are marked anew, live blocks' marks go."""
+    local, alive, due = _gc(spark, sf)
+    marks = local.join(alive, "hash", "left_anti").select("hash", F.lit(NOW + GRACE).cast("bigint").alias("not_before_ms"))
+    return lww.remove(lww.replace(due, marks, ["hash"]), alive, ["hash"])
+
+
+@query(_with("parts", "SELECT upload_id, part_number, size + part_number % 2 AS size FROM parts"))
+def part_replace(spark, sf):
+    rows = views.upload_parts(spark, sf).select("bucket", "upload_id", "part_number", "size")
+    again = rows.where("part_number % 2 = 1").withColumn("size", F.col("size") + 1)
+    return lww.replace(rows, again, ["bucket", "upload_id", "part_number"]).select("upload_id", "part_number", "size")
+
+
+@query(f"SELECT key, updated_at, deleted, CASE WHEN deleted THEN 0 ELSE length(key) END::BIGINT AS size, (('0x' || substr(sha256(key), 1, 2))::INTEGER & 63)::INTEGER AS shard_id, seq AS last_seq FROM (SELECT key, ts AS updated_at, kind = 'object_delete' AS deleted FROM ({_LAST.replace('FROM facts', 'FROM (' + _CTE['facts'] + ')')})), (SELECT max(event_id) AS seq FROM events)")
+def facts_pull(spark, sf):
+    """The events as a peer's log, pulled and merged; the cursor stands at its end."""
+    log = views.facts(spark, sf)
+    name = F.when(F.col("kind") == "object_delete", "ObjectDelete").otherwise("ObjectPut")
+    data = F.struct(F.lit("b").alias("bucket"), "key", F.array(F.sha2(F.col("seq").cast("string"), 256)).alias("blocks"), F.length("key").cast("bigint").alias("size"), F.lit("e").alias("etag"))
+    store = Store(spark)
+    facts.pull(store, log.select("seq", "ts", "kind", scalar.encode_fact(name, data).alias("payload")), "site-9", SITE, NOW)
+    last = store.read("replication_cursors").first()["last_seq"]
+    rows = store.read("objects").select("key", "updated_at", "deleted", "size", "shard_id")
+    return rows.withColumn("last_seq", F.lit(last))
+
+
+@query(_with("locations", f"SELECT hash, {NOW + 60_000}::BIGINT AS next_attempt_at, 1::INTEGER AS attempts FROM (SELECT DISTINCT sha256(l_partkey::VARCHAR || '-' || s::VARCHAR) AS hash FROM (SELECT l_partkey, unnest([l_suppkey, l_suppkey + 1]) AS s FROM lineitem)) WHERE hash IN (SELECT hash FROM locations) AND hash NOT IN (SELECT hash FROM locations WHERE location_id IN ('site-1', 'site-2', 'site-3', 'site-4'))"))
+def replication_drain(spark, sf):
+    """What is left of a queue after one step: blocks whose holders aren't reachable."""
+    queue = _wanted(spark, sf).select("target", "hash", F.lit(NOW - 1).cast("bigint").alias("next_attempt_at"), F.lit(0).alias("attempts"), F.lit(NOW - 1).cast("bigint").alias("enqueued_at"))
+    return replication.drain(queue, views.locations(spark, sf), PEERS, SITE, NOW, page=None)["queue"].select("hash", "next_attempt_at", "attempts")
+
+
+@query(_with("locations held live blocks", "SELECT hash, size FROM blocks WHERE hash NOT IN (SELECT hash FROM held EXCEPT SELECT hash FROM live) OR hash IN (SELECT hash FROM locations WHERE location_id <> 'site-1')"))
+def drain_forced_sweep(spark, sf):
+    """The guard has tripped: nothing is fetched, and orphans go at once."""
+    _, alive, due = _gc(spark, sf)
+    step = replication.drain(views.queue(spark, sf), views.locations(spark, sf), PEERS, SITE, NOW, tripped=True, held=(alive, views.blocks(spark, sf), due))
+    return step["blocks"].select("hash", "size")
+
+
+@query(_with("queue", "SELECT count(*)::BIGINT AS n, array_to_string((list(hash || ' x' || attempts::VARCHAR ORDER BY hash))[1:5], ',') AS sample FROM queue WHERE target = 'site-1' AND attempts >= 10"))
+def stuck_summary(spark, sf):
+    return replication.stuck_summary(views.queue(spark, sf), SITE).select("n", F.array_join("sample", ",").alias("sample"))
+
+
+@query(_with("nodes", "SELECT location_id, CASE WHEN location_id = 'site-1' THEN api_url ELSE 'https://' || api_url END AS api_url FROM nodes"))
+def membership_merge(spark, sf):
+    held = views.nodes(spark, sf).withColumn("last_heartbeat", F.lit(0).cast("bigint"))
+    told = held.withColumn("api_url", F.concat(F.lit("https://"), "api_url"))
+    return replication.record_peers(held, told, SITE, NOW).select("location_id", "api_url")
+
+
+@query("SELECT access_key, action, c_mktsegment IS NOT NULL AND (c_mktsegment = 'BUILDING' OR action = 's3:GetObject') AS allowed FROM (SELECT (c_custkey * 2)::VARCHAR AS access_key, unnest(['s3:GetObject', 's3:PutObject']) AS action FROM customer) LEFT JOIN (SELECT c_custkey::VARCHAR AS access_key, c_mktsegment FROM customer) USING (access_key)")
+def user_access(spark, sf):
+    """Keys that no user has are refused."""
+    own = F.when(F.col("c_mktsegment") == "BUILDING", policy.preset("admin")).otherwise(policy.preset("readonly"))
+    c = views.raw(spark, sf, "customer")
+    users = c.select(F.col("c_custkey").cast("string").alias("access_key"), own.alias("policy"))
+    asked = c.select((F.col("c_custkey") * 2).cast("string").alias("access_key"), F.explode(F.array(F.lit("s3:GetObject"), F.lit("s3:PutObject"))).alias("action"), F.lit("r").alias("resource"))
+    return policy.authorize(asked, users).select("access_key", "action", "allowed")
+
+
+@query(_with("objects", "SELECT key, version_id, is_latest, size, n > 5 AS is_truncated FROM (SELECT *, 'null' AS version_id, true AS is_latest, count(*) OVER () AS n, row_number() OVER (ORDER BY key) AS r FROM objects WHERE NOT deleted AND bucket = 'src1' AND starts_with(key, 'en/')) WHERE r <= 5"))
+def versions_page(spark, sf):
+    return listing.versions(views.objects(spark, sf), "src1", "en/", None, 5).select("key", "version_id", "is_latest", "size", "is_truncated")
+
+
+@query(_with("objects", "SELECT bucket, count(*)::BIGINT AS items, least(count(*), 4)::INTEGER AS key_count, count(*) > 4 AS is_truncated FROM objects WHERE NOT deleted AND bucket = 'src1' GROUP BY bucket"))
+def list_key_count(spark, sf):
+    got = listing.page(views.objects(spark, sf), "src1", max_keys=4, start_after="a").groupBy("bucket").agg(F.max("key_count").alias("key_count"), F.max("is_truncated").alias("is_truncated"))
+    return lww.live(views.objects(spark, sf)).groupBy("bucket").agg(F.count("*").alias("items")).join(got, "bucket").select("bucket", "items", "key_count", "is_truncated")
+
+
+@query(_with("parts", "SELECT upload_id AS key, sum(size)::BIGINT AS size, md5(unhex(string_agg(etag, '' ORDER BY part_number))) || '-' || sum((size + 1023) // 1024)::BIGINT::VARCHAR AS etag, 0::BIGINT AS left_over FROM parts GROUP BY upload_id"))
+def multipart_site(spark, sf):
+    """Uploads created, their parts put, and all of them completed."""
+    store = Store(spark)
+    made = site.Site(store, ParquetBlobs(spark, f"{store.root}/blobs"), Config(location_id=SITE, chunk_size=1024))
+    c = views.raw(spark, sf, "conversations").select(F.lit("chat").alias("bucket"), F.col("conv_id").cast("string").alias("key"), F.col("turn").cast("int").alias("part_number"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
+    uploads = made.create_uploads(c.select("bucket", "key").distinct())
+    made.upload_parts(c.join(uploads, ["bucket", "key"]).select("bucket", "upload_id", "part_number", "body"), NOW)
+    made.complete_uploads(uploads.select("bucket", "upload_id", "key"), NOW + 1)
+    left = F.lit(store.read("parts").count()).cast("bigint")
+    return store.read("objects").select("key", "size", "etag", left.alias("left_over"))
+
+
+@query(_with("objects", "SELECT 'copy' AS bucket, key, size, etag FROM objects WHERE bucket = 'src1'"))
+def copy_manifests(spark, sf):
+    made = _site(spark, sf)
+    asked = made.store.read("objects").where("bucket = 'src1'").select(F.col("bucket").alias("source_bucket"), F.col("key").alias("source_key"), F.lit("copy").alias("bucket"), "key")
+    made.copy(asked, NOW + 1)
+    return made.store.read("objects").where("bucket = 'copy'").select("bucket", "key", "size", "etag")

@@ -30,19 +30,22 @@ def decoded(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply(store: Store, log: DataFrame, site: str, now_ms: int) -> DataFrame:
-    """Merges a batch into the store's tables; returns the dead letters. Nothing is logged again."""
+    """Merges a batch into the store's tables; returns the dead letters. Nothing is logged again. Of facts of one key and
+    time the one with the smallest number counts."""
     facts, dead = decoded(log)
+    seq = F.col("seq")
+    newest = lambda rows, keys: lww.winners(rows, keys, "updated_at", seq).drop("seq")
     gone = F.col("variant") == "ObjectDelete"
     changed = facts.where(F.col("variant").isin("ObjectPut", "ObjectDelete"))
-    objects = changed.select("bucket", "key", F.when(gone, F.array().cast("array<string>")).otherwise(F.col("blocks")).alias("blocks"), F.when(gone, 0).otherwise(F.col("size")).cast("bigint").alias("size"), F.when(gone, "").otherwise(F.col("etag")).alias("etag"), shard_id(F.col("key")).alias("shard_id"), F.col("ts").alias("updated_at"), gone.alias("deleted"))
-    store.write("objects", lww.merge(store.read("objects"), objects, ["bucket", "key"], "updated_at"))
+    objects = changed.select("seq", "bucket", "key", F.when(gone, F.array().cast("array<string>")).otherwise(F.col("blocks")).alias("blocks"), F.when(gone, 0).otherwise(F.col("size")).cast("bigint").alias("size"), F.when(gone, "").otherwise(F.col("etag")).alias("etag"), shard_id(F.col("key")).alias("shard_id"), F.col("ts").alias("updated_at"), gone.alias("deleted"))
+    store.write("objects", lww.merge(store.read("objects"), newest(objects, ["bucket", "key"]), ["bucket", "key"], "updated_at"))
     told = facts.where("variant = 'BlockAnnounce'")
-    spots = told.select("hash", "location_id", "fid", F.col("ts").alias("updated_at"))
+    spots = newest(told.select("seq", "hash", "location_id", "fid", F.col("ts").alias("updated_at")), ["hash", "location_id"])
     here = store.write("block_locations", lww.merge(store.read("block_locations"), spots, ["hash", "location_id"], "updated_at"))
-    store.write("blocks", lww.merge(store.read("blocks"), told.select("hash", "size", F.col("ts").alias("updated_at")), ["hash"], "updated_at"))
+    store.write("blocks", lww.merge(store.read("blocks"), newest(told.select("seq", "hash", "size", F.col("ts").alias("updated_at")), ["hash"]), ["hash"], "updated_at"))
     store.write("replication_queue", lww.add_missing(store.read("replication_queue"), replication.to_enqueue(told, here, site, now_ms), ["target", "hash"]))
-    users = facts.where("variant = 'UserPut'").select("access_key", "secret_key", F.from_json("policy", store.read("users").schema["policy"].dataType).alias("policy"), F.col("ts").alias("updated_at"))
-    store.write("users", lww.merge(store.read("users"), users, ["access_key"], "updated_at"))
+    users = facts.where("variant = 'UserPut'").select("seq", "access_key", "secret_key", F.from_json("policy", store.read("users").schema["policy"].dataType).alias("policy"), F.col("ts").alias("updated_at"))
+    store.write("users", lww.merge(store.read("users"), newest(users, ["access_key"]), ["access_key"], "updated_at"))
     return dead
 
 
