@@ -121,6 +121,25 @@ def test_line_dedup_long_and_repetitive(spark):
     assert sum(got[d] != want[d] for d in want) <= 5
 
 
+def test_line_dedup_recall_by_length(spark):
+    """Pairs just over the similarity, of every length: the share that is found."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    rows, sizes, each = [], (10, 14, 20, 60, 250, 1000), 100
+    for n in sizes:
+        for _ in range(each):
+            line, apart = word(n + 6), int(n * 0.2 / 1.8 + 1e-9)
+            near = line[: n - apart + 6] + word(apart)
+            rows += [line, near]
+            shared = {line[i : i + 7] for i in range(n)} & {near[i : i + 7] for i in range(n)}
+            assert len(shared) >= 0.8 * (2 * n - len(shared))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(frame).where("text = ''").collect()}
+    assert all(i % 2 for i in gone)
+    found = [sum(i in gone for i in range(2 * each * k + 1, 2 * each * (k + 1), 2)) / each for k in range(len(sizes))]
+    assert min(found) >= 0.93 and np.mean(found) >= 0.96, found
+
+
 def test_line_dedup_odd(spark, odd):
     rows, df = odd
     done = line_dedup.dedup_lines(df)
