@@ -12,7 +12,8 @@
 5. Verified links go to a distributed union-find (components).
 6. Buckets that hold lines of several components are dealt, without their pivots, into blocks of bounded size. Where two
    blocks meet, lines of different components with nine or more equal minima are compared, in the smallest key that they
-   share; of pairs of similarity 0.8 that share a band, 99.6 % have nine. Then the union-find runs again.
+   share; of pairs of similarity 0.8 that share a band, 99.6 % have nine. Only links leave a task, but the comparisons grow
+   with the square of a bucket's lines that are neither links nor far apart. Then the union-find runs again.
 7. Of a component's occurrences the first stays: smallest id, then text hash, then position.
 
 Buckets, lines and components that hold more than one in SHARE of all rows are few, whatever the corpus. Their keys are
@@ -148,13 +149,18 @@ def block_links(tried: DataFrame, made: DataFrame, linked: DataFrame, texts: Dat
     found = pairs.select(same.alias("same"), "x", "y", places.alias("places"))
     sets = lambda items: F.when(F.exists("places", lambda p: F.size(p) > 0), F.transform(items, lambda m: F.struct(m["h1"].alias("h1"), F.array_distinct(shingles(m["line"])).alias("set"))))
     ready = found.select("same", sets(F.col("y")).alias("y"), F.when(~F.col("same"), sets(F.col("x"))).alias("x"), "places").select(F.coalesce("x", "y").alias("x"), "y", "places")
-    # inner generators would have the optimizer ask for arrays that aren't empty, and make them again for it
-    met = ready.select("x", "y", F.posexplode_outer("places").alias("i", "js")).select("x", "y", "i", F.explode_outer("js").alias("j")).where("j is not null")
-    a, b = F.col("x")[F.col("i")], F.col("y")[F.col("j")]
-    both, total = F.size(F.array_intersect(a["set"], b["set"])), F.size(a["set"]) + F.size(b["set"])
-    # |A and B| / (|A| + |B| - |A and B|) >= PART / WHOLE, with the common number on one side
-    alike = met.where((WHOLE + PART) * both >= PART * total)
-    return scratch.put(alike.select(F.least(a["h1"], b["h1"]).alias("u"), F.greatest(a["h1"], b["h1"]).alias("v")), "links-blocks")
+
+    def alike(a: Column, b: Column) -> Column:
+        # |A and B| / (|A| + |B| - |A and B|) >= PART / WHOLE, with the common number on one side
+        fits = WHOLE * F.least(F.size(a), F.size(b)) >= PART * F.greatest(F.size(a), F.size(b))
+        return fits & ((WHOLE + PART) * F.size(F.array_intersect(a, b)) >= PART * (F.size(a) + F.size(b)))
+
+    x, y = F.col("x"), F.col("y")
+    link = lambda i, j: F.struct(F.least(x[i]["h1"], y[j]["h1"]).alias("u"), F.greatest(x[i]["h1"], y[j]["h1"]).alias("v"))
+    of = lambda js, i: F.transform(F.filter(js, lambda j: alike(x[i]["set"], y[j]["set"])), lambda j: link(i, j))
+    links = ready.select(F.flatten(F.transform("places", of)).alias("links"))
+    # an inner generator would have the optimizer ask for arrays that aren't empty, and make them again for it
+    return scratch.put(links.select(F.explode_outer("links").alias("l")).where("l is not null").select("l.*"), "links-blocks")
 
 
 def line_components(tried: DataFrame, made: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
