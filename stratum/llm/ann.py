@@ -9,8 +9,8 @@ shard's best rows by look-up (POOL or one in POOL_SHARE, and all that tie with t
 per query takes the best of all shards. So an index row moves once, whatever the number of queries.
 
 Scores are inner products in double precision of the original components, summed in their order. Vectors that are null,
-zero, of another length than most, or that hold null or non-finite components take no part, nor do null ids. Repeated ids
-are rows of their own; ties go to the smaller id. Empty tables give empty results; extra columns are ignored, whatever
+zero, of another length than most, or that hold null or non-finite components take no part, nor do null ids. Rows that
+share an id are rows of their own, as candidates and as queries (which then share one ranking); ties go to the smaller id. Empty tables give empty results; extra columns are ignored, whatever
 their names.
 """
 from __future__ import annotations

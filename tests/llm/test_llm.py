@@ -375,8 +375,11 @@ def test_secrets(spark, docs, odd):
         base = [x for x in got[d]["s"] if x[0] != "3"]
         assert base == [f"{k}:{a}:{z}" for a, k, z in want], d
     assert [x[0] for x in got[9003]["s"]] == ["3", "2"]
-    _, df = odd
-    assert secrets.scan(df.drop("spans")).count() == df.count()
+    odd_rows, df = odd
+    scanned = secrets.scan(df.drop("spans")).selectExpr("doc_id", "text", "transform(filter(spans, s -> s.kind < 3), s -> concat(s.kind, ':', s.start, ':', s.end)) s").collect()
+    base = lambda t: [f"{k}:{a}:{z}" for a, k, z in sorted((m.start(), i, m.end()) for i, (k, p) in enumerate(kinds.items()) for m in p.finditer(t or "") if ok[k](m))]
+    assert Counter((r["doc_id"], r["text"], tuple(r["s"])) for r in scanned) == Counter((d, t, tuple(base(t))) for d, t in odd_rows)
+    assert secrets.scan(df.limit(0)).count() == 0
     assert secrets.redact(spark.createDataFrame([(9001, extra[0][1])], "doc_id bigint, text string")).first()["text"].count("<secret>") == 2
 
 
@@ -431,7 +434,11 @@ def test_packing(spark, odd, docs):
     assert ((rows["offset"] + rows["length"]).groupby(rows["sequence_id"]).shift(1, fill_value=0) == rows["offset"]).all()
     fill = rows.groupby("sequence_id")["length"].sum()
     assert fill.max() <= 4096 and fill.index.tolist() == list(range(len(fill))) and (4096 * len(fill) - fill.sum()) < 2 * 4096
-    assert packing.pack(odd[1]).selectExpr("sum(length)").first()[0] > 0 and packing.pack(odd[1].limit(0)).count() == 0
+    every = Counter((d, len(exact.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in odd[0])
+    got = packing.pack(odd[1]).toPandas()
+    heads = got[got["start"] == 0]
+    assert Counter((None if np.isnan(d) else int(d), n) for d, n in zip(heads["doc_id"].astype(float), heads["doc_tokens"], strict=True)) == every
+    assert got["length"].sum() == sum(n * k for (_, n), k in every.items()) and packing.pack(odd[1].limit(0)).count() == 0
 
 
 def test_packing_one_hot_length():
@@ -497,11 +504,20 @@ def test_simhash_links_lose_nothing(spark, thresholds):
 
 
 def test_simhash_odd(spark, odd):
-    _, df = odd
-    got = simhash.near_duplicates(df).collect()
-    assert len(got) == df.count() and simhash.near_duplicates(df.limit(0)).count() == 0
-    blank = {r["component_id"] for r in got if r["fp"] == 0}
-    assert blank == {1}
+    rows, df = odd
+    got = Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(df).collect())
+    fps = [simple_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    for i, a in enumerate(fps):
+        for k in range(i):
+            if (a ^ fps[k]).bit_count() <= 4:
+                parent[find(parent, i)] = find(parent, k)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[find(parent, i)].append(d)
+    name = lambda i: min((d for d in least[find(parent, i)] if d is not None), default=None)
+    assert got == Counter((d, fps[i], name(i)) for i, (d, _) in enumerate(rows))
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
 # ---- 8 ---------------------------------------------------------------------------------------------------------------------
@@ -518,6 +534,10 @@ def test_quality_rules(spark, docs, odd):
         assert tuple(r)[1:6] == want, d
         assert r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality.judge(odd[1].limit(0)).count() == 0
+    by_id = {d: tuple(got[8000 + d])[1:] for d, _ in odd[0] if d not in (None, 6)}
+    same = {t: by_id[d] for d, t in odd[0] if d in by_id}
+    # null ids and repeated rows are judged as any row with that text
+    assert Counter(tuple(r) for r in quality.judge(odd[1]).collect()) == Counter((d, *same[t]) for d, t in odd[0])
     measured = quality.measure(frame(spark, docs))
     verdicts = [measured.select(quality.cascade(order)).collect() for order in (sorted(quality.RULES), sorted(quality.RULES)[::-1])]
     assert verdicts[0] == verdicts[1]  # the order changes no verdict
@@ -544,6 +564,18 @@ def test_ann(spark):
     assert hits / (150 * 20) >= 0.9 and set(got) == set(range(0, 3000, 20))
     few = ann.nearest(df.where("vec_id < 5"))
     assert few.count() == 4 and ann.nearest(df.limit(0)).count() == 0
+    # rows that share an id are rows of their own, as candidates and as queries; ties go to the smaller id
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (3, [1.0, 1.0]), (2, [1.0, 1.0]), (5, [2.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = [tuple(r)[1:] for r in ann.nearest(twice.withColumns({"shard": ann.F.lit("s"), "codes": ann.F.lit("c")})).orderBy("rank").collect()]
+    assert [(i, s) for _, i, s in got] == [(5, 2.0), *[(1, 1.0)] * 4, *[(2, 1.0)] * 2, *[(3, 1.0)] * 2, (5, 0.0)]
+    # one vector that a third of the rows have
+    x[:1000] = x[0]
+    hot = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(hot).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    near = [got[q] for q in range(0, 1000, 20) if got[q][0][1] == ann.exact(x[:1].astype(float), x[0].astype(float))[0]]
+    assert all([i for i, _ in g] == [i for i in range(21) if i != q][:20] for q, g in got.items() if q < 1000 and g in near)
 
 
 # ---- the registered queries, on whole tables ---------------------------------------------------------------------------------
