@@ -58,20 +58,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root, self.names = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", []
         atexit.register(self.drop)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         with settings(self.spark, _WRITING):
             df.write.option("compression", "zstd").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """These tables, or all."""
+        """These tables (a name that ends with * stands for all that begin so), or all."""
+        own = [n for name in names for n in ([k for k in self.names if k.startswith(name[:-1])] if name.endswith("*") else [name])]
         try:
             jvm = self.spark._jvm
-            for name in names or ("",):
+            for name in own if names else ("",):
                 path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # the session has ended: the folder's owner cleans it

@@ -188,7 +188,7 @@ def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.put(of.groupBy("root").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n")), "first")
     gone = join_counted(of, first, ["root"], total).where(F.struct("id", "th", "pos") != F.col("first"))
     made = scratch.put(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("removed")), "gone")
-    scratch.drop("roots", "occurrences", "first")
+    scratch.drop("roots", "occurrences", "first", "components*")
     return made
 
 

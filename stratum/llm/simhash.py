@@ -8,8 +8,9 @@ probes. A fingerprint has one entry under its own value in a partition and, wher
 value one bit away. Entries of a value are compared in numpy; a value with many entries is dealt into blocks, and pairs of
 blocks are compared in tasks of their own. Only the links of a spanning forest leave a task. Every link is verified.
 
-Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Repeated rows and ties
-stay: each row gets its component. A null id is never the smallest one; a component of null ids only has a null id.
+Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Very long texts are read
+whole. Repeated rows and ties stay: each row gets its component. An empty table gives an empty result; extra columns are
+ignored, whatever their names. A null id is never the smallest one; a component of null ids only has a null id.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, join_counted, table
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -193,15 +194,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp long, component id) per row."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     made = scratch.put(fingerprints(docs, id_col, text_col), "fingerprints")
-    items = scratch.put(made.groupBy("fp").agg(F.min(id_col).alias("least")), "items")
+    items = scratch.put(made.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "items")
     total = items.count()
     sample = np.array([r[0] for r in items.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     found = components(links(items, *allocate(sample, total)), scratch)
-    labelled = items.join(found, items["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = items.join(found, items["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     labelled = scratch.put(labelled, "labelled")
+    scratch.drop("items", "components*")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = labelled.join(least, "root").select("fp", "component_id")
-    return made.join(member, "fp").select(id_col, "fp", "component_id")
+    member = labelled.join(least, "root").select("fp", "component_id", "n")
+    return join_counted(made, member, ["fp"], made.count()).select(id_col, "fp", "component_id")
 
 
 def hex16(fp) -> Column:
