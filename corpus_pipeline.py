@@ -67,7 +67,11 @@ STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies),
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)  # its last reader is done
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
