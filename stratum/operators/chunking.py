@@ -1,7 +1,8 @@
-"""Chunks of bodies, content addresses and block dedup (CH2-CH6, AG7, JN10)."""
+"""Chunks of bodies, content addresses and block dedup (CH1-CH6, AG7, JN10)."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,46 @@ def chunks(bodies: DataFrame, config: Config) -> DataFrame:
     return content_defined(bodies, config.cdc_min, config.cdc_avg, config.cdc_max)
 
 
+def ends_of(data: bytes, config: Config) -> list[int]:
+    if config.chunking == "fixed":
+        return [*range(config.chunk_size, len(data), config.chunk_size), len(data)] if data else []
+    return cut_points(data, config.cdc_min, config.cdc_avg, config.cdc_max)
+
+
+def process(carried: bytes, data: bytes, config: Config) -> tuple[list[bytes], bytes]:
+    """CH1: the chunks that more bytes can't change, and what is carried on. A chunk that ends with the bytes so far may
+    grow, so it is carried; finalize by taking the carried bytes as the last chunk. Chunks are those of the whole body, if
+    the least size is 32 bytes or more (a cut looks at that many)."""
+    body = carried + data
+    ends = ends_of(body, config)
+    if not ends:
+        return [], b""
+    cuts = [0, *ends[:-1]]
+    return [body[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)], body[cuts[-1] :]
+
+
+def chunk_stream(pieces: DataFrame, config: Config) -> DataFrame:
+    """CH1 on a stream: (key, seq, data, last) -> (key, pos, data). A body's pieces come in order of batches, and of seq within
+    one; the one with `last` ends it. The state of a body is the bytes of one chunk at most."""
+
+    def step(key, frames, state):
+        carried, pos = state.get if state.exists else (b"", 0)
+        rows, over = [], False
+        for f in sorted((r for frame in frames for r in frame.itertuples()), key=lambda r: r.seq):
+            done, carried = process(bytes(carried), bytes(f.data or b""), config)
+            rows += done
+            over = over or bool(f.last)
+        if over and len(carried):
+            rows.append(bytes(carried))
+        if over:
+            state.remove()
+        else:
+            state.update((bytes(carried), pos + len(rows)))
+        yield pd.DataFrame({"key": [key[0]] * len(rows), "pos": [pos + i for i in range(len(rows))], "data": rows})
+
+    return pieces.groupBy("key").applyInPandasWithState(step, "key string, pos int, data binary", "carried binary, pos int", "append", "NoTimeout")
+
+
 def addressed(pieces: DataFrame) -> DataFrame:
     return pieces.withColumns({"hash": digest(F.col("data")), "size": F.octet_length("data").cast("bigint")})
 

@@ -109,6 +109,32 @@ def test_content_defined(spark):
     assert b"".join(bytes(r["data"]) for r in got) == noise
 
 
+def test_incremental_chunks(spark, tmp_path):
+    """Cut as they arrive, bodies have the chunks of whole ones."""
+    rng = random.Random(2)
+    for config in (Config(chunk_size=700), Config(chunking="cdc", cdc_min=512, cdc_avg=1024, cdc_max=2048)):
+        for size in (0, 1, 700, 1400, 20_000):
+            body = rng.randbytes(size)
+            whole = [body[a:z] for a, z in itertools.pairwise([0, *chunking.ends_of(body, config)])]
+            for step in (1 if size < 2000 else 97, 333, 5000):
+                got, carried = [], b""
+                for i in range(0, size, step):
+                    done, carried = chunking.process(carried, body[i : i + step], config)
+                    got += done
+                assert got + ([carried] if carried else []) == whole
+    bodies = {f"k{i}": rng.randbytes(3000 * i) for i in range(4)}
+    batches = [[(k, n, b[i : i + 999], i + 999 >= len(b)) for k, b in bodies.items() for n, i in enumerate(range(0, max(len(b), 1), 999)) if n // 4 == batch] for batch in range(3)]
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, "key string, seq bigint, data binary, last boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("key string, seq bigint, data binary, last boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = chunking.chunk_stream(source, config).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    got = {k: [] for k in bodies}
+    for r in spark.read.parquet(f"{tmp_path}/out").orderBy("key", "pos").collect():
+        got[r["key"]].append(bytes(r["data"]))
+    assert got == {k: [b[a:z] for a, z in itertools.pairwise([0, *chunking.ends_of(b, config)])] for k, b in bodies.items()}
+
+
 def test_gc(spark):
     hashes = lambda *h: spark.createDataFrame([(x,) for x in h], "hash string")
     due = spark.createDataFrame([("cancelled", 5), ("late", 10), ("early", 99), ("lost", 1)], "hash string, not_before_ms bigint")
