@@ -6,7 +6,7 @@ costs one round at most. No links, labels or components reach the driver, only a
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -31,10 +31,11 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     seen, k = None, 0
     while True:
         k += 1
-        fresh = scratch.put(_small(_large(edges)), f"{name}-{k}")
+        told = Observation()  # taken while the table is written
+        step = _small(_large(edges)).observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum"))
+        fresh = scratch.put(step, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
-        edges = fresh
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen or not now[0]:
+        edges, now = fresh, told.get
+        if now == seen or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now

@@ -1,6 +1,11 @@
 """Bounded labelled samples for the classifiers, and fold bookkeeping."""
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +27,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     text = text.withColumn("text", F.when(F.length("text") <= longest, F.col("text")).otherwise(F.concat_ws("\n", *[part(k) for k in range(PARTS)])))
     # at most `rows` pairs of numbers
     return text.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", "text").limit(rows).select("text", "label")
+
+
+def learnt(chosen: DataFrame, fit: Callable[[list[str], np.ndarray], dict]) -> dict | None:
+    """fit(texts, labels) of a bounded sample, in one task: only the model comes to the driver, and a lost executor costs
+    another try. None without labels of both kinds."""
+
+    def run(batches):
+        texts, label = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            label += b.column(1).to_pylist()
+        if label and min(label) < max(label):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(label, np.float32)))], pa.binary())], names=["model"])
+
+    got = chosen.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0][0])) if got else None

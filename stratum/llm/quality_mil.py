@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_fold, table
-from .labelled import sample
+from .labelled import learnt, sample
 
 PASSAGE, HIDDEN, GATE = 48, 24, 12
 BUCKETS, DIM = 4_096, 8
@@ -183,38 +183,16 @@ def fit(bags: list[dict], label: np.ndarray, seed: int = 3) -> dict:
 _NONE = {"x": np.zeros((1, WIDTH), np.float32), "word": np.zeros(1, np.uint16), "words": np.ones(1, np.int64), "run": np.zeros(1, np.uint16), "runs": np.ones(1, np.int64)}
 
 
-def pack_bag(text: str | None) -> bytes:
-    """A document's described passages as bytes, for the way to the driver."""
-    blocks, _ = described([text])
-    got = list(blocks) or [_NONE]
-    b = {k: np.concatenate([g[k] for g in got]) for k in got[0]}
-    sizes = np.array([len(b["x"]), len(b["word"]), len(b["run"])], np.int64)
-    return b"".join([sizes.tobytes(), b["x"].tobytes(), b["word"].tobytes(), b["words"].astype(np.int64).tobytes(), b["run"].tobytes(), b["runs"].astype(np.int64).tobytes()])
-
-
-def unpack_bag(raw: bytes) -> dict:
-    n, w, r = np.frombuffer(raw, np.int64, 3).tolist()
-    out, at = {}, 24
-    for name, kind, k in (("x", np.float32, n * WIDTH), ("word", np.uint16, w), ("words", np.int64, n), ("run", np.uint16, r), ("runs", np.int64, n)):
-        out[name] = np.frombuffer(raw[at : at + k * np.dtype(kind).itemsize], kind)
-        at += k * np.dtype(kind).itemsize
-    out["x"] = out["x"].reshape(n, WIDTH)
-    return out
+def bag_of(text: str | None) -> dict:
+    """A document's described passages."""
+    got = list(described([text])[0]) or [_NONE]
+    return {k: np.concatenate([g[k] for g in got]) for k in got[0]}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The model, or None without labels of both kinds. Only described passages of the sample reach the driver."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pack_bag(t) for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["bag", "label"])
-
+    """The model, or None without labels of both kinds."""
     chosen = sample(docs, labels, "quality", MODULUS, HELD, TRAIN_ROWS, LONGEST, id_col, text_col)
-    got = chosen.mapInArrow(run, "bag binary, label double").toPandas()
-    label = got["label"].to_numpy(np.float32)
-    if not len(label) or label.min() == label.max():
-        return None
-    return fit([unpack_bag(v) for v in got["bag"]], label)
+    return learnt(chosen, lambda texts, label: fit([bag_of(t) for t in texts], label))
 
 
 def _scored(m: dict, texts: list[str]) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_fold, table
-from .labelled import sample
+from .labelled import learnt, sample
 
 WINDOW, STRIDE, STEP = 24, 16, 2
 WORDS, WORD_DIM, GRAMS, GRAM_DIM, HIDDEN, ATTENTION = 4_000, 8, 16_384, 8, 8, 8
@@ -398,11 +398,8 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    got = sample(docs, labels, "toxic", MODULUS, HELD, TRAIN_ROWS, LONGEST, id_col, text_col).toPandas()
-    label = got["label"].to_numpy(np.float32)
-    if not len(label) or label.min() == label.max():
-        return None
-    return fit(got["text"].tolist(), label)
+    """The model, or None without labels of both kinds."""
+    return learnt(sample(docs, labels, "toxic", MODULUS, HELD, TRAIN_ROWS, LONGEST, id_col, text_col), fit)
 
 
 def classify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

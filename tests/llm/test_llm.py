@@ -311,7 +311,7 @@ def plain_quality(m, text):
 
 def test_quality_equals_plain_loops(docs, monkeypatch):
     some = [t for _, t in docs[:60]]
-    m = quality_mil.fit([quality_mil.unpack_bag(quality_mil.pack_bag(t)) for t in some], np.array([k % 2 for k in range(60)], np.float32))
+    m = quality_mil.fit([quality_mil.bag_of(t) for t in some], np.array([k % 2 for k in range(60)], np.float32))
     odd = ["", None, " \n ", "a", "ab c", "same same same", "x" * 700, "é" * 30 + " 語 " * 60, LONG[:3000], some[0] + "\n" + some[1]]
     want = [plain_quality(m, t) for t in odd + some[:20]]
     assert quality_mil.scores(m, odd + some[:20]) == pytest.approx(want, abs=1e-4)
