@@ -10,7 +10,8 @@ Documents carry the labels, windows don't: the first windows to learn from are t
 surely go with the label (likelihood ratio on the sample, less what chance gives); then the network picks each toxic
 document's worst window and the clean ones' worst windows, and learns from those (windows to learn from start at every
 STRIDE-th word). A last step fits the scale of the documents' scores; the limit stands where FALSE of the sample's clean
-documents lie above it. Toxic documents can't place it: their own windows were learnt, so new ones score lower.
+documents lie above it, or higher, up to the highest of them, if no toxic one is near. Toxic documents alone can't place it:
+their own windows were learnt, so new ones score lower.
 
 The model is fitted on at most TRAIN_ROWS labelled documents outside the held-out fold; of one of more than LONGEST
 characters, on parts of it (labelled.sample). Every word of every text is scored. Null and empty texts score 0. Without
@@ -392,7 +393,10 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 11) -> dict:
         g = _sigmoid(a * top + b) - label
         w = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
         a, b = max(a - 0.05 * float((w * g * top).mean()), 0.2), b - 0.1 * float((w * g).mean())
-    edge = np.quantile(top[label == 0], 1 - FALSE)
+    low, high = np.quantile(top[label == 0], 1 - FALSE), top[label == 0].max()
+    above = top[(label > 0) & (top > low)]
+    # as far up to the highest clean document as leaves half of the way to the sample's lowest toxic one
+    edge = max(low, min(high, (low + above.min()) / 2)) if len(above) else low
     m["scale"], m["offset"] = a, float(np.log(LIMIT / (1 - LIMIT)) - a * edge)
     return m
 
