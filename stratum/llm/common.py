@@ -61,9 +61,10 @@ class Scratch:
         self.root, self.names = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", []
         atexit.register(self.drop)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, small: bool = True) -> DataFrame:
+        """small=False: joins aren't planned as broadcasts for a side that happens to be small (hints still count)."""
         path = f"{self.root}/{name}"
-        with settings(self.spark, _WRITING):
+        with settings(self.spark, _WRITING if small else _WRITING | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
             df.write.option("compression", "zstd").parquet(path)
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -179,14 +179,14 @@ def duplicate_lines(own: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = scratch.put(made.select("h1", "n").join(tried.select("h1").distinct(), "h1", "left_semi"), "wanted")
     total = lambda rows: int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     lines = join_counted(occurrences.select("h1", "line"), wanted, ["h1"], total(made))
-    texts = scratch.put(lines.groupBy("h1").agg(F.min("line").alias("line")), "texts")
+    texts = scratch.put(lines.groupBy("h1").agg(F.min("line").alias("line")), "texts", small=False)
     linked = line_components(tried, made, texts, scratch)
     named = linked.union(linked.select("root", "root").distinct())
     counted = made.select("h1", "n").join(named, made["h1"] == named["node"], "left").select("h1", "n", F.coalesce("root", "h1").alias("root"), "node")
     roots = scratch.put(counted.where("n > 1 or node is not null").select("h1", "n", "root"), "roots")
     rows = total(roots)
     scratch.drop("signatures", "busy", "wanted", "texts", "tried", "links", "blocks", "links-blocks")
-    of = scratch.put(join_counted(occurrences.select("h1", "id", "th", "pos"), roots, ["h1"], rows).select("root", "id", "th", "pos"), "occurrences")
+    of = scratch.put(join_counted(occurrences.select("h1", "id", "th", "pos"), roots, ["h1"], rows).select("root", "id", "th", "pos"), "occurrences", small=False)
     first = scratch.put(of.groupBy("root").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n")), "first")
     gone = join_counted(of, first, ["root"], rows).where(F.struct("id", "th", "pos") != F.col("first"))
     made = scratch.put(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("removed")), "gone")
