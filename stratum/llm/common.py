@@ -115,7 +115,9 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     # rows with a hot key are dealt by a hash of their own, and find nothing there
     deal = F.when(F.col("__few").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(SHARE)).cast("int"))
     marked = marked.withColumn("__deal", deal)
-    met = marked.join(side.drop(n).withColumn("__none", F.lit(0)), on(marked, side) & (F.col("__deal") == F.col("__none")), "left")
+    # always 0, but no constant: as one it would be folded away, and hot rows would meet by their key after all
+    none = F.pmod(F.xxhash64(named[0]), F.lit(1)).cast("int")
+    met = marked.join(side.drop(n).withColumn("__none", none), on(marked, side) & (F.col("__deal") == F.col("__none")), "left")
     found = met.withColumn("__one", F.coalesce("__few", "__one")).where(F.col("__one").isNotNull())
     return found.select(*left.columns, *[F.col(f"__one.{c}").alias(c) for c in rest])
 

@@ -154,6 +154,24 @@ def test_line_dedup_odd(spark, odd):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_join_counted_splits_hot_keys(spark):
+    """The rows of the plain join, with hot keys dealt over tasks."""
+    from stratum.llm import common
+
+    left = spark.range(9_000).selectExpr("case when id % 3 = 0 then 7 else id end as k", "id as x")
+    right = left.groupBy("k").agg(common.F.count("*").alias("n")).where("k % 2 = 1").withColumn("v", common.F.col("k") * 2)
+    got = common.join_counted(left, right, ["k"], 9_000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right.drop("n"), "k").select("k", "x", "v").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = common.join_counted(left, right, ["k"], 9_000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "__deal" in plan.split("hashpartitioning(", 1)[1] and any("__deal" in part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
+    few = right.where("n <= 1000")
+    assert common.join_counted(left, few, ["k"], 9_000).count() == left.join(few, "k").count()
+
+
 # ---- 2, 9 --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("name", "label", "modulus", "held"), [("op2_quality_mil", "quality", 4, 2), ("op9_toxicity", "toxic", 3, 1)])
 def test_classifiers(spark, name, label, modulus, held):
