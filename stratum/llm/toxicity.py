@@ -38,22 +38,37 @@ COMMON, CHANCE, FALSE = 20, 4.0, 0.003
 TRAIN_ROWS, LONGEST = 4_000, 200_000
 ROUNDS, EPOCHS, MOST, ENOUGH, BATCH = 3, 3, 40, 0.3, 128
 MODULUS, HELD, LIMIT = 3, 1, 0.7
-CACHE, BLOCK, PIECE = 300_000, 2_048, 16_384
+CACHE, BLOCK, SPAN, PIECE, HOLD = 300_000, 2_048, 1_024, 16_384, 65_536
+#: A direction's input parts and weights are kept so that its gates are logistic(-x) and its candidate 2 logistic(-x) - 1.
+FACTOR = np.repeat(np.array([-1, -2], np.float32), [2 * HIDDEN, HIDDEN])
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_PIECE = b" "  # no word holds it
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words; one of more than LONG_WORD bytes (text without blanks) gives pieces that overlap by half, each a step."""
+def _raw(text: str | None) -> list[bytes]:
+    """A text's words as they stand there, each a step; one that gives several steps (tokens) as its pieces, marked."""
+    found = (text or "").lower().encode().split()
+    if not found or max(map(len, found)) <= LONG_WORD:
+        return found
     out = []
-    for w in (text or "").lower().encode().split():
-        w = w.strip(_STRIP) or w
-        if len(w) <= LONG_WORD:
+    for w in found:
+        short = w.strip(_STRIP) or w
+        if len(short) <= LONG_WORD:
             out.append(w)
         else:
-            out.extend(w[i : i + LONG_WORD] for i in range(0, len(w) - LONG_WORD // 2, LONG_WORD // 2))
+            out.extend(_PIECE + short[i : i + LONG_WORD] for i in range(0, len(short) - LONG_WORD // 2, LONG_WORD // 2))
     return out
 
 
+def _word(raw: bytes) -> bytes:
+    return raw[1:] if raw.startswith(_PIECE) else raw.strip(_STRIP) or raw
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """Words; one of more than LONG_WORD bytes (text without blanks) gives pieces that overlap by half, each a step."""
+    return [_word(w) for w in _raw(text)]
+
+
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' byte runs, ends marked, all words at once; and how many each word has, one or more."""
     marked = [b"\x01" + w + b"\x02" for w in words]
@@ -78,22 +93,13 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    """Logistic function, in place."""
-    np.negative(x, out=x)
+def _squashed(x: np.ndarray) -> np.ndarray:
+    """Logistic function of -x, in place."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _tanh(x: np.ndarray) -> np.ndarray:
-    x *= 2
-    _squash(x)
-    x *= 2
-    x -= 1
-    return x
-
-
 def windows(n: int, stride: int = STEP) -> np.ndarray:
     """First words of the windows over n words; the last one ends with the text."""
     if not n:
@@ -207,51 +213,63 @@ class Scorer:
     """Scores texts; each word's input parts are computed once and kept, up to CACHE words."""
 
     def __init__(self, model: dict):
-        self.m, self.row, self.parts = model, {}, np.zeros((1 << 14, 6 * HIDDEN), np.float32)
+        self.m, self.parts = model, np.zeros((1 << 14, 6 * HIDDEN), np.float32)
         self.index = {w: i for i, w in enumerate(model["vocabulary"])}
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        fresh = [w for w in dict.fromkeys(words) if w not in self.row]
-        if len(self.row) + len(fresh) > CACHE:
-            self.row = {}
-            fresh = list(dict.fromkeys(words))
+        self.row: dict[bytes, int] = {}  # of words
+        self.place: dict[bytes, int] = {}  # of words as they stand in texts (_raw)
+
+    def rows(self, raw: list[bytes]) -> np.ndarray:
+        """The rows of self.parts with the words' input parts; rows of earlier calls don't outlive this one."""
+        fresh = [w for w in dict.fromkeys(raw) if w not in self.place]
+        if len(self.place) + len(fresh) > CACHE:
+            self.row, self.place = {}, {}
+            fresh = list(dict.fromkeys(raw))
         if fresh:
-            m = self.m
-            flat, size = grams(fresh)
-            gram = np.add.reduceat(m["gram"][flat], np.cumsum(size) - size) / size[:, None]
-            own = m["word"][[self.index.get(w, len(self.index)) for w in fresh]]
-            x = np.concatenate([own, gram], axis=1)
-            part = np.concatenate([x @ m[f"w{k}"] + m[f"p{k}"] for k in "fb"], axis=1)
-            at = len(self.row)
-            if at + len(fresh) > len(self.parts):  # doubles, up to CACHE rows and one call's words
-                self.parts = np.concatenate([self.parts, np.zeros((max(len(self.parts), len(fresh)), 6 * HIDDEN), np.float32)])
-            self.parts[at : at + len(fresh)] = part
-            self.row.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+            own = [_word(w) for w in fresh]
+            self._add([w for w in dict.fromkeys(own) if w not in self.row])
+            self.place.update(zip(fresh, map(self.row.__getitem__, own), strict=True))
+        return np.fromiter(map(self.place.__getitem__, raw), np.int64, len(raw))
+
+    def _add(self, fresh: list[bytes]) -> None:
+        if not fresh:
+            return
+        m = self.m
+        flat, size = grams(fresh)
+        gram = np.add.reduceat(m["gram"][flat], np.cumsum(size) - size) / size[:, None]
+        own = m["word"][[self.index.get(w, len(self.index)) for w in fresh]]
+        x = np.concatenate([own, gram], axis=1)
+        part = np.concatenate([(x @ m[f"w{k}"] + m[f"p{k}"]) * FACTOR for k in "fb"], axis=1)
+        at = len(self.row)
+        if at + len(fresh) > len(self.parts):  # doubles, up to CACHE rows and one call's words
+            self.parts = np.concatenate([self.parts, np.zeros((max(len(self.parts), len(fresh)), 6 * HIDDEN), np.float32)])
+        self.parts[at : at + len(fresh)] = part
+        self.row.update(zip(fresh, range(at, at + len(fresh)), strict=True))
 
     def logits(self, texts: list[str], stride: int = STEP) -> list[np.ndarray]:
-        """Each text's windows' logits. Pieces are scored before the cache is emptied, so no row number outlives it."""
+        """Each text's windows' logits. Words get their rows where their pieces are scored, some HOLD words at once."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, np.ndarray]] = []
+        pool: list[bytes] = []
+        ends: list[int] = []
 
         def flush() -> None:
-            for (i, _, _), y in zip(held, self._piece_logits([h[1:] for h in held], stride), strict=True):
+            pieces = np.split(self.rows(pool), ends[:-1])
+            for (i, _), y in zip(held, self._piece_logits([(rows, own) for rows, (_, own) in zip(pieces, held, strict=True)], stride), strict=True):
                 out[i].append(y)
-            held.clear()
+            held.clear(), pool.clear(), ends.clear()
 
         for i, text in enumerate(texts):
-            words = tokens(text)
+            words = _raw(text)
             places, step = windows(len(words), stride), max(1, PIECE // stride)
             for k in range(0, len(places), step):  # very long texts in parts
                 own = places[k : k + step]
-                piece = words[own[0] : own[-1] + WINDOW]
-                if len(self.row) + len(piece) > CACHE:
+                pool += words[own[0] : own[-1] + WINDOW]
+                ends.append(len(pool))
+                held.append((i, own - own[0]))
+                if len(held) >= BLOCK or len(pool) >= HOLD:
                     flush()
-                    self.row = {}
-                elif len(held) >= BLOCK:
-                    flush()
-                held.append((i, self.rows(piece), own - own[0]))
-        flush()
+        if held:
+            flush()
         return [np.concatenate(y) if y else np.zeros(0) for y in out]
 
     def _piece_logits(self, pieces: list[tuple[np.ndarray, np.ndarray]], stride: int) -> list[np.ndarray]:
@@ -277,7 +295,7 @@ class Scorer:
         d = 3 * HIDDEN
         for a in range(0, len(odd), BLOCK):
             block = np.stack(odd[a : a + BLOCK])
-            mask, x = (block >= 0).astype(np.float32), self.parts[np.maximum(block, 0)]
+            mask, x = (block >= 0).astype(np.float32), self.parts[np.maximum(block, 0)] / np.tile(FACTOR, 2)
             h = np.concatenate([recur(x[:, :, :d], self.m["uf"], mask, False), recur(x[:, :, d:], self.m["ub"], mask, True)], axis=2)
             for (k, j), v in zip(at[a : a + BLOCK], pool(self.m, h, mask)[3], strict=True):
                 out[k][j] = v
@@ -285,30 +303,37 @@ class Scorer:
 
     def _slide(self, laid: np.ndarray, n: int, stride: int) -> np.ndarray:
         """Logits of n windows, each `stride` words after the one before. Arrays are (features, windows), so a step's inputs
-        are slices; each word's phase modulo the stride has an array of its own."""
+        are slices; each word's phase modulo the stride has an array of its own. Both directions take a step at once."""
         m, d, out = self.m, 3 * HIDDEN, np.empty(n)
-        u = {k: np.ascontiguousarray(m[f"u{k}"].T) for k in "fb"}
-        v = np.ascontiguousarray(m["v"].T)
-        for a in range(0, n, BLOCK):
-            w = min(BLOCK, n - a)
+        # signs and factors of the squashing functions are in the weights (and in self.parts)
+        u = np.stack([m[f"u{k}"].T * FACTOR[:, None] for k in "fb"])
+        v, twice, less = m["v"].T * np.float32(-2), 2 * m["a"], m["a"].sum()
+        for a in range(0, n, SPAN):
+            w = min(SPAN, n - a)
             rows = laid[a * stride : (a + w) * stride + WINDOW]
             phase = [np.ascontiguousarray(self.parts[rows[r::stride]].T) for r in range(stride)]
             step = lambda t: phase[t % stride][:, t // stride : t // stride + w]  # noqa: B023, E731
-            states = {}
-            for k, own, order in (("b", slice(d, 2 * d), range(WINDOW - 1, -1, -1)), ("f", slice(0, d), range(WINDOW))):
-                h, kept = np.zeros((HIDDEN, w), np.float32), np.empty((WINDOW, HIDDEN, w), np.float32)
-                for t in order:
-                    x, g = step(t)[own], u[k] @ h
-                    zr = _squash(g[: 2 * HIDDEN] + x[: 2 * HIDDEN])
-                    c = zr[HIDDEN:] * g[2 * HIDDEN :]
-                    c = _tanh(c + x[2 * HIDDEN :])
-                    h = c + zr[:HIDDEN] * (h - c)
-                    kept[t] = h
-                states[k] = kept
-            top, low = np.zeros(w, np.float32), np.zeros(w, np.float32)
+            h, g, kept = np.zeros((2, HIDDEN, w), np.float32), np.empty((2, d, w), np.float32), np.empty((WINDOW, 2 * HIDDEN, w), np.float32)
+            zr, z, r, c = g[:, : 2 * HIDDEN], g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :]
             for t in range(WINDOW):
-                h = np.concatenate([states["f"][t], states["b"][t]])
-                e = np.exp(m["a"] @ _tanh(v @ h))  # bounded by the sum of |a|
+                ahead, back = step(t)[:d], step(WINDOW - 1 - t)[d:]
+                np.matmul(u, h, out=g)
+                zr[0] += ahead[: 2 * HIDDEN]
+                zr[1] += back[: 2 * HIDDEN]
+                _squashed(zr)
+                c *= r
+                c[0] += ahead[2 * HIDDEN :]
+                c[1] += back[2 * HIDDEN :]
+                _squashed(c)
+                c *= 2
+                c -= 1
+                h -= c
+                h *= z
+                h += c
+                kept[t, :HIDDEN], kept[WINDOW - 1 - t, HIDDEN:] = h
+            top, low = np.zeros(w, np.float32), np.zeros(w, np.float32)
+            for h in kept:
+                e = np.exp(twice @ _squashed(v @ h) - less)  # bounded by the sum of |a|
                 top += e * (m["c"] @ h)
                 low += e
             out[a : a + w] = top / low + m["d"]
@@ -321,8 +346,6 @@ class Scorer:
             while end < len(texts) and (end == at or size + len(texts[end] or "") < 400_000):
                 size += len(texts[end] or "")
                 end += 1
-            if len(self.row) > CACHE // 2:
-                self.row = {}
             for i, y in enumerate(self.logits(texts[at:end])):
                 out[at + i] = _sigmoid(self.m["scale"] * y.max() + self.m["offset"]) if len(y) else 0.0
             at = end

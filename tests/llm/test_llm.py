@@ -239,6 +239,19 @@ def test_toxicity_cache_keeps_rows(monkeypatch):
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, want, strict=True))
 
 
+def test_toxicity_texts_share_their_work(monkeypatch):
+    """Words of many texts get their inputs in one call, once for all that stand in other marks; scores are those of each text alone."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" + str(rng.choice(["", ",", ".", '"'])) for x in rng.integers(0, 50, 60)) + (" Grumblor!" if k % 3 == 0 else "") for k in range(90)]
+    texts += ["x" * 64 + "...", "(" + "y" * 200 + ")", "... -- ...", "\u00a0 \u3000", None, ""]
+    model = toxicity.fit(texts, np.array([k % 3 == 0 for k in range(96)], np.float32))
+    alone = [toxicity.Scorer(model).scores([t])[0] for t in texts]
+    calls, grams = [], toxicity.grams
+    monkeypatch.setattr(toxicity, "grams", lambda words: calls.append(words) or grams(words))
+    assert toxicity.Scorer(model).scores(texts) == pytest.approx(alone, abs=1e-5)
+    assert len(calls) == 1 and len(calls[0]) == len(set(calls[0])) and set(calls[0]) == {w for t in texts for w in toxicity.tokens(t)}
+
+
 def test_toxicity_windows():
     for n in (1, 24, 25, 40, 41, 1000):
         assert toxicity.windows(n, 1).tolist() == list(range(max(n - toxicity.WINDOW, 0) + 1))
