@@ -26,10 +26,12 @@ links is one 64-bit hash.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SHARE, Scratch, join_counted, let, partitions, table, unused
+from .common import NULL_ID, SHARE, Scratch, join_counted, let, partitions, settings, table, unused
 from .components import components
 
 SHINGLE, SIDE = 7, 4
@@ -38,8 +40,9 @@ MINIMA = SIDE * SIDE
 BANDS = [[SIDE * x + y for x in range(SIDE) for y in range(SIDE) if same(x, y) == b] for same in (lambda x, y: x, lambda x, y: y, lambda x, y: x ^ y) for b in range(SIDE)]
 #: Similar: |A and B| / |A or B| >= 4 / 5, in whole numbers.
 PART, WHOLE = 4, 5
-STEP = 8
+STEP = 4
 AGREE = 9
+NIBBLE = 64 // MINIMA
 BLOCK_LINES, BLOCK_UNITS = 256, 1_000_000
 SAMPLED = 64
 
@@ -72,10 +75,11 @@ def signatures(occurrences: DataFrame) -> DataFrame:
     at = b.select("h1", "b", "last", (F.length("b") >= 2 * SHINGLE).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
     place = lambda k: 2 * F.least(F.col("i") + k, F.col("last")) + 1
     h = at.select("h1", "whole", "i", *[F.shiftrightunsigned(F.xxhash64(F.substring("b", place(k), F.lit(2 * SHINGLE))), 33).alias(f"s{k}") for k in range(STEP)])
-    # 31 bits times 31 bits: no overflow
     value = lambda k, j: (F.col(f"s{k}") * F.lit(constant(j, MINIMA)).cast("long")).bitwiseAND(F.lit(2**31 - 1))
     minima = [F.min(F.least(*[value(k, j) for k in range(STEP)])).alias(f"m{j}") for j in range(MINIMA)]
-    sig = h.groupBy("h1", "whole").agg(*minima, F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
+    # 31 bits times 31 bits: no overflow, so none is looked for
+    with settings(h.sparkSession, {"spark.sql.ansi.enabled": "false"}):
+        sig = h.groupBy("h1", "whole").agg(*minima, F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
     return sig.select("h1", "n", "whole", *[F.col(f"m{j}").cast("int").alias(f"m{j}") for j in range(MINIMA)])
 
 
@@ -115,10 +119,26 @@ def verified(asked: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
     pairs = asked.join(texts.select("h1", F.col("line").alias("a")), "h1").join(texts.select(F.col("h1").alias("p"), F.col("line").alias("b")), "p")
     # a generated row: so that the condition doesn't hash the shingles again at each of its places
     sets = pairs.select("h1", "p", F.explode(F.array(F.struct(shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b")))).alias("s"))
-    alike = WHOLE * F.size(F.array_intersect("s.a", "s.b")) >= PART * F.size(F.array_union("s.a", "s.b"))
+    common = F.size(F.array_intersect("s.a", "s.b"))
+    # most links show without the union: with repeats, the two sizes are upper bounds
+    alike = ((WHOLE + PART) * common >= PART * (F.size("s.a") + F.size("s.b"))) | (WHOLE * common >= PART * F.size(F.array_union("s.a", "s.b")))
     return scratch.put(sets.where(alike).select(F.least("h1", "p").alias("u"), F.greatest("h1", "p").alias("v")), name)
 
 
+def low_bits() -> Column:
+    """NIBBLE low bits of each minimum, in one number."""
+    return reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{j}").cast("long").bitwiseAND(F.lit(2**NIBBLE - 1)), NIBBLE * j) for j in range(MINIMA)])
+
+
+def near(a: Column, b: Column) -> Column:
+    """Of two such numbers, whether AGREE of their parts are equal: so they are wherever AGREE minima are, and it takes few
+    steps to tell."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) <= MINIMA - AGREE
+
+
 def block_links(tried: DataFrame, made: DataFrame, linked: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links across components among the lines of each bucket that are not its pivot.
 
@@ -131,10 +151,10 @@ def block_links(tried: DataFrame, made: DataFrame, linked: DataFrame, texts: Dat
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("units") / BLOCK_UNITS)).cast("int")
     members = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     own = tried.groupBy("h1").agg(F.collect_list("key").alias("keys"))
-    signed = made.select("h1", F.array(*[f"m{j}" for j in range(MINIMA)]).alias("minima"))
+    signed = made.select("h1", F.array(*[f"m{j}" for j in range(MINIMA)]).alias("minima"), low_bits().alias("low"))
     smaller = F.filter("keys", lambda k: k < F.col("key"))
     full = members.join(own, "h1").join(signed, "h1").join(texts, "h1").withColumn("keys", smaller)
-    held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "minima", "line")).alias("items")), "blocks")
+    held = scratch.put(full.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("h1", "root", "keys", "minima", "low", "line")).alias("items")), "blocks")
     left = held.select("key", F.col("block").alias("i"), F.col("items").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     pairs = left.join(held.select("key", "block", F.col("items").alias("y")), ["key", "block"])
     pairs = pairs.repartition(4 * partitions(members.sparkSession), "key", "i", "block")  # small rows, long work: not to be merged into few tasks
@@ -142,7 +162,7 @@ def block_links(tried: DataFrame, made: DataFrame, linked: DataFrame, texts: Dat
     agree = lambda a, b: F.aggregate(F.sequence(F.lit(0), F.lit(MINIMA - 1)), F.lit(0), lambda n, j: n + (a["minima"][j] == b["minima"][j]).cast("int"))
 
     def asked(a: Column, b: Column) -> Column:
-        return (a["root"] != b["root"]) & (~same | (a["h1"] < b["h1"])) & ~F.arrays_overlap(a["keys"], b["keys"]) & (agree(a, b) >= AGREE)
+        return (a["root"] != b["root"]) & (~same | (a["h1"] < b["h1"])) & near(a["low"], b["low"]) & ~F.arrays_overlap(a["keys"], b["keys"]) & (agree(a, b) >= AGREE)
 
     # for each line of one block, the places of the lines of the other that it is compared with
     places = F.transform("x", lambda a: F.filter(F.sequence(F.lit(0), F.size("y") - 1), lambda j: let(F.col("y")[j], lambda b: asked(a, b))))

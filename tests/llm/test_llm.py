@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm import ann, bpe, line_dedup, packing, quality, quality_mil, queries, secrets, simhash, substring_dedup, toxicity
 
@@ -140,6 +141,23 @@ def test_line_dedup_recall_by_length(spark):
     assert min(found) >= 0.93 and np.mean(found) >= 0.96, found
 
 
+def test_line_dedup_few_steps_lose_no_pair(spark):
+    """The test on low bits passes every pair with AGREE equal minima, and few others."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(4000):
+        a = rng.integers(0, 2**31, line_dedup.MINIMA)
+        b = np.where(np.arange(line_dedup.MINIMA) < k % (line_dedup.MINIMA + 1), a, rng.integers(0, 2**31, line_dedup.MINIMA))
+        rows.append((a.tolist(), rng.permutation(16).tolist(), b.tolist()))
+    made = spark.createDataFrame([([a[i] for i in p], [b[i] for i in p]) for a, p, b in rows], "a array<int>, b array<int>")
+    low = lambda c: made.select("a", "b", *[F.col(c)[j].alias(f"m{j}") for j in range(line_dedup.MINIMA)]).select("a", "b", line_dedup.low_bits().alias(c + "_low"))
+    both = low("a").join(low("b"), ["a", "b"])
+    got = both.select("a", "b", line_dedup.near(F.col("a_low"), F.col("b_low")).alias("near")).collect()
+    equal = np.array([sum(x == y for x, y in zip(r["a"], r["b"], strict=True)) for r in got])
+    said = np.array([r["near"] for r in got])
+    assert len(got) == len(rows) and said[equal >= line_dedup.AGREE].all() and said[equal <= 4].mean() < 0.02
+
+
 def test_line_dedup_odd(spark, odd):
     rows, df = odd
     done = line_dedup.dedup_lines(df)
