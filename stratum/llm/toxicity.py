@@ -21,6 +21,7 @@ each row is scored by itself. An empty table gives an empty one.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -220,12 +221,12 @@ class Scorer:
 
     def rows(self, raw: list[bytes]) -> np.ndarray:
         """The rows of self.parts with the words' input parts; rows of earlier calls don't outlive this one."""
-        fresh = [w for w in dict.fromkeys(raw) if w not in self.place]
+        fresh = list(filterfalse(self.place.__contains__, dict.fromkeys(raw)))
         if len(self.place) + len(fresh) > CACHE:
             self.row, self.place = {}, {}
             fresh = list(dict.fromkeys(raw))
         if fresh:
-            own = [_word(w) for w in fresh]
+            own = [w[1:] if w[0] == _PIECE[0] else w.strip(_STRIP) or w for w in fresh]  # _word
             self._add([w for w in dict.fromkeys(own) if w not in self.row])
             self.place.update(zip(fresh, map(self.row.__getitem__, own), strict=True))
         return np.fromiter(map(self.place.__getitem__, raw), np.int64, len(raw))
@@ -236,7 +237,8 @@ class Scorer:
         m = self.m
         flat, size = grams(fresh)
         gram = np.add.reduceat(m["gram"][flat], np.cumsum(size) - size) / size[:, None]
-        own = m["word"][[self.index.get(w, len(self.index)) for w in fresh]]
+        get, none = self.index.get, len(self.index)
+        own = m["word"][[get(w, none) for w in fresh]]
         x = np.concatenate([own, gram], axis=1)
         part = np.concatenate([(x @ m[f"w{k}"] + m[f"p{k}"]) * FACTOR for k in "fb"], axis=1)
         at = len(self.row)
@@ -290,11 +292,13 @@ class Scorer:
         for k, ((rows, places), f) in enumerate(zip(pieces, full, strict=True)):
             out[k][f] = y[(base[k] + places[f]) // stride]
             for j in np.flatnonzero(~f):
-                odd.append(np.pad(rows[places[j] : places[j] + WINDOW], (0, max(0, places[j] + WINDOW - len(rows))), constant_values=-1))
+                odd.append(rows[places[j] : places[j] + WINDOW])
                 at.append((k, j))
         d = 3 * HIDDEN
         for a in range(0, len(odd), BLOCK):
-            block = np.stack(odd[a : a + BLOCK])
+            block = np.full((len(at[a : a + BLOCK]), WINDOW), -1)
+            for row, own in zip(block, odd[a : a + BLOCK], strict=True):
+                row[: len(own)] = own
             mask, x = (block >= 0).astype(np.float32), self.parts[np.maximum(block, 0)] / np.tile(FACTOR, 2)
             h = np.concatenate([recur(x[:, :, :d], self.m["uf"], mask, False), recur(x[:, :, d:], self.m["ub"], mask, True)], axis=2)
             for (k, j), v in zip(at[a : a + BLOCK], pool(self.m, h, mask)[3], strict=True):
@@ -303,39 +307,53 @@ class Scorer:
 
     def _slide(self, laid: np.ndarray, n: int, stride: int) -> np.ndarray:
         """Logits of n windows, each `stride` words after the one before. Arrays are (features, windows), so a step's inputs
-        are slices; each word's phase modulo the stride has an array of its own. Both directions take a step at once."""
+        are slices; each word's phase modulo the stride has an array of its own. Both directions take a step at once.
+
+        States are kept as (state + 1) / 2, with a row of ones for what that adds to products, so that a candidate is what its
+        squashing function gives; gates divide by 1 + exp(x) instead of multiplying by its reciprocal."""
         m, d, out = self.m, 3 * HIDDEN, np.empty(n)
         # signs and factors of the squashing functions are in the weights (and in self.parts)
         u = np.stack([m[f"u{k}"].T * FACTOR[:, None] for k in "fb"])
-        v, twice, less = m["v"].T * np.float32(-2), 2 * m["a"], m["a"].sum()
+        u = np.concatenate([2 * u, -u.sum(2, keepdims=True)], axis=2)
+        v = np.concatenate([m["v"].T * np.float32(-2), m["c"][None]])
+        v = np.concatenate([2 * v, -v.sum(1, keepdims=True)], axis=1)
+        twice, less = 2 * m["a"], m["a"].sum()
         for a in range(0, n, SPAN):
             w = min(SPAN, n - a)
             rows = laid[a * stride : (a + w) * stride + WINDOW]
             phase = [np.ascontiguousarray(self.parts[rows[r::stride]].T) for r in range(stride)]
             step = lambda t: phase[t % stride][:, t // stride : t // stride + w]  # noqa: B023, E731
-            h, g, kept = np.zeros((2, HIDDEN, w), np.float32), np.empty((2, d, w), np.float32), np.empty((WINDOW, 2 * HIDDEN, w), np.float32)
-            zr, z, r, c = g[:, : 2 * HIDDEN], g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :]
+            if a == 0 or w < SPAN:
+                state, g, kept = np.ones((2, HIDDEN + 1, w), np.float32), np.empty((2, d, w), np.float32), np.ones((WINDOW, 2 * HIDDEN + 1, w), np.float32)
+                q = np.empty((ATTENTION + 1, w), np.float32)
+            h, zr, z, r, c = state[:, :HIDDEN], g[:, : 2 * HIDDEN], g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :]
             for t in range(WINDOW):
                 ahead, back = step(t)[:d], step(WINDOW - 1 - t)[d:]
-                np.matmul(u, h, out=g)
-                zr[0] += ahead[: 2 * HIDDEN]
-                zr[1] += back[: 2 * HIDDEN]
-                _squashed(zr)
-                c *= r
-                c[0] += ahead[2 * HIDDEN :]
-                c[1] += back[2 * HIDDEN :]
+                if t:
+                    np.matmul(u, state, out=g)
+                    zr[0] += ahead[: 2 * HIDDEN]
+                    zr[1] += back[: 2 * HIDDEN]
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    c /= r
+                    c[0] += ahead[2 * HIDDEN :]
+                    c[1] += back[2 * HIDDEN :]
+                else:  # the state is zero: inputs alone
+                    g[0], g[1], h[:] = ahead, back, 0.5
+                    np.exp(z, out=z)
+                    z += 1
                 _squashed(c)
-                c *= 2
-                c -= 1
                 h -= c
-                h *= z
+                h /= z
                 h += c
-                kept[t, :HIDDEN], kept[WINDOW - 1 - t, HIDDEN:] = h
+                kept[t, :HIDDEN], kept[WINDOW - 1 - t, HIDDEN:-1] = h
             top, low = np.zeros(w, np.float32), np.zeros(w, np.float32)
-            for h in kept:
-                e = np.exp(twice @ _squashed(v @ h) - less)  # bounded by the sum of |a|
-                top += e * (m["c"] @ h)
+            for k in kept:
+                np.matmul(v, k, out=q)
+                e = np.exp(twice @ _squashed(q[:ATTENTION]) - less)  # bounded by the sum of |a|
                 low += e
+                e *= q[ATTENTION]
+                top += e
             out[a : a + w] = top / low + m["d"]
         return out
 

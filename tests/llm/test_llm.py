@@ -326,6 +326,28 @@ def test_toxicity_equals_plain_loops():
     assert toxicity.Scorer(m).scores(some) == pytest.approx(best, abs=1e-4)
 
 
+def test_toxicity_steps_take_few_passes(monkeypatch):
+    """A window's step squashes each gate once and inverts no gate but the candidate; its first step, from the zero state, has
+    no reset gate; and windows that texts' ends cut short give what plain loops give."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) + (" grumblor" if n % 2 else "") for n in rng.integers(1, 60, 90)]
+    m = toxicity.fit(texts, np.array(["grumblor" in t for t in texts], np.float32))
+    n, each = 300, toxicity.WINDOW * toxicity.HIDDEN
+    scorer = toxicity.Scorer(m)
+    laid = np.resize(scorer.rows([b"w%d" % x for x in range(40)]), 2 * n + toxicity.WINDOW + 2)
+    done = {"exp": 0, "reciprocal": 0}
+    for name in done:
+        monkeypatch.setattr(np, name, lambda x, *a, f=getattr(np, name), name=name, **b: (done.__setitem__(name, done[name] + np.size(x)), f(x, *a, **b))[1])
+    scorer._slide(laid, n, 2)
+    monkeypatch.undo()
+    # two directions' three gates, and the attention's
+    assert done["exp"] <= n * (6 * each - 2 * toxicity.HIDDEN + toxicity.WINDOW * (toxicity.ATTENTION + 1)), done
+    assert done["reciprocal"] <= n * (2 * each + toxicity.WINDOW * toxicity.ATTENTION), done
+    for size in (1, 23, 24, 25, 58):
+        text = "\"quoted\" " + "x" * 90 + " " + " ".join(f"w{k}," for k in range(size))
+        assert toxicity.Scorer(m).logits([text], 1)[0] == pytest.approx(plain_logits(m, text), abs=1e-4)
+
+
 def plain_quality(m, text):
     words = (text or "").encode().split()
     whole = (text or "").encode()
